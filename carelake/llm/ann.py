@@ -223,13 +223,14 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id_: str = "vec_id", ve
             yield out[["id", "row", "v", "p", "bound", "group", "cell", "part"]]
 
     sent = "id long, row long, v array<double>, p array<double>, bound double, group int, cell int, part int"
-    found = "row long, id long, best array<struct<s:double,i:long>>"
+    found = "row long, id long, s array<double>, i array<long>"
 
     def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"row": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"), "best": []})
+            return pd.DataFrame({"row": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"), "s": pd.Series([], dtype=object), "i": pd.Series([], dtype=object)})
         i, s = search_block(np.stack(left["v"]), left["id"].to_numpy(), np.stack(left["p"]), top, np.stack(right["v"]), right["id"].to_numpy(), np.stack(right["p"]), right["bound"].to_numpy(), k, limit, left["row"].to_numpy(), right["row"].to_numpy())
-        return pd.DataFrame({"row": right["row"], "id": right["id"], "best": [[{"s": float(x), "i": int(y)} for x, y in zip(a, b) if np.isfinite(x)] for a, b in zip(s, i)]})
+        real = [np.isfinite(x) for x in s]
+        return pd.DataFrame({"row": right["row"], "id": right["id"], "s": [x[r] for x, r in zip(s, real)], "i": [x[r] for x, r in zip(i, real)]})
 
     def run(q: DataFrame) -> DataFrame:
         spread = base.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))) if groups > 1 else base.withColumn("group", F.lit(0))
@@ -238,7 +239,7 @@ def search(df: DataFrame, is_query: Column, k: int = 20, id_: str = "vec_id", ve
 
     begun = queries.withColumn("bound", F.lit(float("inf"))).mapInPandas(lambda b: visits(b, True), sent)
     near = written(run(begun), "near")
-    pairs = lambda d: d.select("row", "id", F.explode("best").alias("b")).select("row", "id", "b.s", "b.i")
+    pairs = lambda d: d.select("row", "id", F.explode(F.arrays_zip("s", "i")).alias("b")).select("row", "id", "b.s", "b.i")
     ranked = lambda d: d.withColumn("r", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("s"), "i")))
     kth = ranked(pairs(near)).where(F.col("r") == k).select("row", F.col("s").alias("kth"))
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)

@@ -128,17 +128,15 @@ def repeats(docs: DataFrame, window: int = 50) -> DataFrame:
                 size = len(w.hashes) + 1
                 live = np.bincount(np.maximum(at[hit] - (window - block), 0), minlength=size) - np.bincount(at[hit] + 1, minlength=size)  # windows that hold a hit block
                 long, begin = windows(w.hashes, w.first, window)
-                check, _ = windows(w.hashes, w.first, window, 0x5851F42D)
                 keep = np.cumsum(live)[begin] > 0
                 row = np.searchsorted(w.first, begin[keep], "right") - 1
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(long[keep].view(np.int64)), pa.array((check[keep] >> U(32)).astype(np.uint32).view(np.int32)),
-                    pa.array(ids[row + lo]), pa.array(keys[row + lo]), pa.array((begin[keep] - w.first[row]).astype(np.int32)),
-                ], ["h", "c", "doc_id", "key", "at"])
+                    pa.array(long[keep].view(np.int64)), pa.array(ids[row + lo]), pa.array(keys[row + lo]), pa.array((begin[keep] - w.first[row]).astype(np.int32)),
+                ], ["h", "doc_id", "key", "at"])
 
-    wide = src.mapInArrow(extend, "h long, c int, doc_id long, key long, at int")
-    first = wide.groupBy("h", "c").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest")).where("earliest < latest").drop("latest")
-    later = wide.join(first, ["h", "c"]).where("doc_id > earliest").groupBy("doc_id", "key").agg(F.collect_set("at").alias("at"))
+    wide = src.mapInArrow(extend, "h long, doc_id long, key long, at int")
+    first = wide.groupBy("h").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest")).where("earliest < latest").drop("latest")
+    later = wide.join(first, "h").where("doc_id > earliest").groupBy("doc_id", "key").agg(F.collect_set("at").alias("at"))
 
     def joined(batches):
         kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
@@ -179,18 +177,44 @@ def _cut(batches, full: bool):
             yield pa.RecordBatch.from_arrays([b.column(names.index("doc_id")), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(out)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def _with_spans(docs: DataFrame, window: int) -> DataFrame:
-    found = written(repeats(docs, window), "repeats").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("spans").alias("__spans"))
-    return docs.join(found, (docs["doc_id"].cast("long") == F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key")), "left").drop("__id", "__key")
+def _apply(docs: DataFrame, window: int, full: bool, schema) -> DataFrame:
+    """Joins the spans to the documents that have any; a filter of these spares the others' texts the shuffle."""
+    found = written(repeats(docs, window), "repeats")
+    n, cells = found.count(), 1 << 10
+    while cells < MAX_CELLS and cells * 3 < n:
+        cells *= 2
+
+    def names(batches):
+        for b in batches:
+            cell, mask = _cells(b.column(0).to_numpy().view(U), cells)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(mask.view(np.int64))], ["cell", "mask"])
+
+    index = _filter(found.select(F.xxhash64("doc_id", "key").alias("name")).mapInArrow(names, "cell int, mask long"), cells)
+
+    def side(batches, maybe: bool):
+        have = np.frombuffer(index.value, U)
+        for b in batches:
+            cell, mask = _cells(b.column(b.num_columns - 1).to_numpy().view(U), cells)
+            got = b.filter(pa.array((have[cell] & mask == mask) == maybe))
+            if got.num_rows:
+                yield got
+
+    named = docs.withColumn("__key", F.xxhash64("text")).withColumn("__name", F.xxhash64(F.col("doc_id").cast("long"), "__key"))
+    kind = "array<struct<begin:int,end:int>>"
+    free = named.mapInArrow(lambda b: side(b, False), named.schema).withColumn("__spans", F.lit(None).cast(kind))
+    held = named.mapInArrow(lambda b: side(b, True), named.schema)
+    marks = found.select(F.col("doc_id").alias("__id"), F.col("key").alias("__of"), F.col("spans").alias("__spans"))
+    held = held.join(marks, (held["doc_id"].cast("long") == F.col("__id")) & (held["__key"] == F.col("__of")), "left").drop("__id", "__of")
+    drop = ["__key", "__name"]
+    return free.drop(*drop).mapInArrow(lambda b: _cut(b, full), schema).unionByName(held.drop(*drop).mapInArrow(lambda b: _cut(b, full), schema))
 
 
 def digest(docs: DataFrame, window: int = 50) -> DataFrame:
     """For each document: doc_id, n_words, n_removed, kept_sha256 (kept words joined by one space)."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _with_spans(slim, window).mapInArrow(lambda b: _cut(b, False), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _apply(slim, window, False, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def strip(docs: DataFrame, window: int = 50) -> DataFrame:
     """The documents, all columns, without the words of earlier documents' passages; texts that lose none are unchanged."""
-    both = _with_spans(docs, window)
-    return both.mapInArrow(lambda b: _cut(b, True), both.drop("__spans").schema)
+    return _apply(docs, window, True, docs.schema)
