@@ -121,7 +121,7 @@ class Codec:
 
     def skipped(self, start: np.ndarray, piece: np.ndarray, variant: np.ndarray, seed: int, dropout: float) -> np.ndarray:
         """Whether the merge to piece at a character offset within its unit is dropped."""
-        h = mix((start.astype(U) << U(32)) ^ piece.astype(U) ^ mix(variant.astype(U) + U(seed % (1 << 32)) * U(0x9E3779B97F4A7C15)))
+        h = mix((start.astype(U) << U(32)) ^ piece.astype(U) ^ mix(variant.astype(U) + U(seed * 0x9E3779B97F4A7C15 % (1 << 64))))
         return (h >> U(11)).astype(np.float64) * 2.0**-53 < dropout
 
     def agenda(self, symbols: np.ndarray, variant: int, seed: int, dropout: float) -> list[int]:
@@ -188,8 +188,8 @@ class Codec:
             keep[at + 1] = False
             s, u, o, p = s[keep], u[keep], o[keep], p[keep]
             at = at - np.arange(len(at))  # merged places after removal
-            near = np.unique(np.r_[at - 1, at])
-            near = near[(near >= 0) & (near < len(s))]
+            near = np.stack([at - 1, at], axis=1).ravel()  # ascending, as places are
+            near = near[np.r_[True, near[1:] != near[:-1]] & (near >= 0)]
             nxt = np.minimum(near + 1, len(s) - 1)
             new = np.where((nxt > near) & (u[nxt] == u[near]), self.merged(s[near], s[nxt]), -1)
             if dropout:
@@ -226,7 +226,6 @@ class Codec:
         np.cumsum(mix(cp.astype(U) + U(0x1F83D9AB)) * powers(len(cp)), out=total[1:])
         name = mix(((total[starts + size] - total[starts]) * powers(len(cp) + 1, True)[starts]) ^ mix(variants[row[starts]].astype(U) + U(11)) ^ (size.astype(U) << U(48)))
         _, which, back = np.unique(name, return_index=True, return_inverse=True)
-        pieces: list[np.ndarray] = [np.zeros(0, np.int32)] * 0
         us, un = starts[which], size[which]
         wide = un <= WIDE
         order = np.r_[np.flatnonzero(wide), np.flatnonzero(~wide)]  # units merged together come first
