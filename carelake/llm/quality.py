@@ -27,15 +27,17 @@ MAX_LABELS = 20_000
 #: A rule needs this share of low-quality rows among those it meets.
 PRECISION = 0.97
 FEATURES = ("n_words", "mean_word", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "mark_share")
+NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *FEATURES[1:])
 
 
 def _count(chars: str) -> Column:
     return (F.length("text") - F.length(F.regexp_replace("text", chars, ""))).cast("long")
 
 
-def statistics(docs: DataFrame, *keep: str) -> DataFrame:
-    """The columns of keep with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the shares of FEATURES."""
-    d = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def _statistics(docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns as the struct __keep, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the shares of FEATURES."""
+    keep = ["__keep"]
+    d = docs.select(F.struct(*columns).alias("__keep"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     d = d.select(
         *keep,
         F.transform(F.array_remove(F.split("text", SPACE + "+"), ""), lambda w: F.xxhash64(w)).alias("h"),
@@ -69,6 +71,11 @@ def statistics(docs: DataFrame, *keep: str) -> DataFrame:
     )
 
 
+def statistics(docs: DataFrame, *keep: str) -> DataFrame:
+    """The columns of keep with the statistics."""
+    return _statistics(docs, *keep).select("__keep.*", *NAMES)
+
+
 @dataclass(frozen=True)
 class Rule:
     """A conjunction of (feature, above, threshold): value > threshold if above, else value <= threshold."""
@@ -167,9 +174,18 @@ def verdict(rules: list[Rule]) -> Column:
     return out
 
 
-def judge(docs: DataFrame, labels: DataFrame, *keep: str) -> DataFrame:
-    """For each document the columns of keep, the statistics, base_failed, rule (the first met, else null) and kept."""
+def _judged(docs: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
     rules = fit(docs, labels)
-    d = statistics(docs, *keep)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return d.withColumns({"base_failed": failed, "rule": verdict(rules)}).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+    d = _statistics(docs, *columns).withColumns({"base_failed": failed, "rule": verdict(rules)})
+    return d.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+
+
+def judge(docs: DataFrame, labels: DataFrame, *keep: str) -> DataFrame:
+    """For each document the columns of keep, the statistics, base_failed, rule (the first met, else null) and kept."""
+    return _judged(docs, labels, *keep).select("__keep.*", *NAMES, "base_failed", "rule", "kept")
+
+
+def good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents, all columns, that are kept."""
+    return _judged(docs, labels, *docs.columns).where("kept").select("__keep.*")

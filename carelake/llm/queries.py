@@ -102,9 +102,9 @@ pairs AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
 ), links AS (
   SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
-), both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+), sym AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (
-  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, both.b FROM reach JOIN both ON reach.b = both.a
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, sym.b FROM reach JOIN sym ON reach.b = sym.a
 )
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, (SELECT min(b) FROM reach WHERE reach.a = d.doc_id) AS component_id,
   d.doc_id = (SELECT min(b) FROM reach WHERE reach.a = d.doc_id) AS kept

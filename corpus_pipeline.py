@@ -16,7 +16,7 @@ from carelake.llm.common import table, written
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or meet a learned rule go."""
-    return quality.judge(docs, table(spark, sf_dir, "labels"), *docs.columns).where("kept").select(*docs.columns)
+    return quality.good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
