@@ -43,7 +43,7 @@ class Engine:
         """resource_type, id and mode (match or include) of the page and what it includes."""
         plan = self.plan(query)
         d = page(self.lowering, plan)
-        more = include(self.lowering, d, plan.includes)
+        more = include(self.lowering, d, plan.type, plan.includes, self.parser.registry)
         row = lambda x, mode: x.select("resource_type", F.col("fhir_id").alias("id"), F.lit(mode).alias("mode"))
         return row(d, "match").unionByName(row(more, "include"))
 
@@ -62,7 +62,7 @@ class Engine:
             rows = d.collect()  # the page: MAX_COUNT rows at most
             entries = [(r, "match") for r in rows]
             if plan.includes:
-                entries += [(r, "include") for r in include(self.lowering, d, plan.includes).collect()]
+                entries += [(r, "include") for r in include(self.lowering, d, plan.type, plan.includes, self.parser.registry).collect()]
             out["entry"] = [{"fullUrl": f"{r['resource_type']}/{r['fhir_id']}", "resource": shaped(json.loads(r["content"]), plan.summary, plan.elements, self.parser.registry), "search": {"mode": mode}} for r, mode in entries]
             cursor = next_cursor(rows, plan)
             if cursor:

@@ -191,5 +191,141 @@ _index("index_uri", "uri", "ValueSet", "url", "SELECT CAST(8 * 72057594037927936
 
 @registered("index_quantity", f"SELECT CAST(4 * 72057594037927936 + event_id AS BIGINT) AS pid, round({_LOW}, 6) AS low, round({_HIGH}, 6) AS high, 'u' AS unit FROM events")
 def index_quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = Star(spark, sf_dir).tables()["quantity"].where("Observation", "value-quantity")
+    d = Star(spark, sf_dir).get("quantity", "Observation", "value-quantity")
     return d.select("pid", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "unit")
+
+
+# versions: orders as a log in which finished ones have a second version and pending ones a tombstone
+def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources.star import LOADED
+
+    o = Star(spark, sf_dir).table("orders")
+    row = lambda d, version, deleted: d.select(F.lit("Encounter").alias("resource_type"), F.concat(F.lit("o"), "o_orderkey").alias("fhir_id"), F.lit(version).cast("long").alias("version_id"), (F.lit(LOADED + version * 1_000_000) + F.col("o_orderkey")).cast("long").alias("last_updated"), F.lit(deleted).alias("deleted"), F.when(~F.lit(deleted), F.col("o_orderstatus")).alias("content"))
+    return row(o, 1, False).unionByName(row(o.where("o_orderstatus = 'F'"), 2, False)).unionByName(row(o.where("o_orderstatus = 'P'"), 2, True))
+
+
+_LOG = """(SELECT 'o' || o_orderkey AS id, 1 AS v, 1704067201000000 + o_orderkey AS t, false AS del FROM orders
+  UNION ALL SELECT 'o' || o_orderkey, 2, 1704067202000000 + o_orderkey, o_orderstatus = 'P' FROM orders WHERE o_orderstatus IN ('F', 'P'))"""
+_VERB = "CASE WHEN del THEN 'DELETE' WHEN v = 1 THEN 'POST' ELSE 'PUT' END AS verb"
+
+
+def _versions(d: DataFrame) -> DataFrame:
+    return d.select(F.col("fhir_id").alias("id"), F.col("version_id").cast("int").alias("v"), "verb")
+
+
+@registered("history_instance", f"SELECT id, v, {_VERB} FROM {_LOG} WHERE id = 'o1'")
+def history_instance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .store import history
+
+    return _versions(history(order_log(spark, sf_dir), "Encounter", "o1"))
+
+
+@registered("history_since", f"SELECT id, v, {_VERB} FROM {_LOG} WHERE t >= 1704067202000000 ORDER BY t DESC, v DESC LIMIT 100")
+def history_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .store import history
+
+    return _versions(history(order_log(spark, sf_dir), "Encounter", None, 1_704_067_202_000_000))
+
+
+@registered("history_offset", f"SELECT id, v, {_VERB} FROM {_LOG} ORDER BY t DESC, v DESC LIMIT 50 OFFSET 25")
+def history_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .store import history
+
+    return _versions(history(order_log(spark, sf_dir), count=50, offset=25))
+
+
+def _newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("resource_type", "fhir_id").orderBy(F.desc("version_id"))
+    return order_log(spark, sf_dir).withColumn("n", F.row_number().over(w)).where("n = 1")
+
+
+@registered("version_current_from_log", f"SELECT id, max(v) AS v FROM {_LOG} GROUP BY id HAVING NOT bool_or(del)")
+def version_current_from_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _newest(spark, sf_dir).where("not deleted").select(F.col("fhir_id").alias("id"), F.col("version_id").cast("int").alias("v"))
+
+
+@registered("delete_tombstone", f"SELECT id, CASE WHEN bool_or(del) THEN 'deleted' ELSE 'ok' END AS status FROM {_LOG} GROUP BY id")
+def delete_tombstone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _newest(spark, sf_dir).select(F.col("fhir_id").alias("id"), F.when(F.col("deleted"), "deleted").otherwise("ok").alias("status"))
+
+
+@registered("compartment_confine", _E + " WHERE user_id = 8 AND event_type = 'click'")
+def compartment_confine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .access import confinement
+
+    e = engine(spark, sf_dir)
+    plan = e.plan("Observation?code=click")
+    plan.clauses.append(confinement("Observation", "Patient", "c8"))
+    return e.lowering.search(plan).select(F.col("fhir_id").alias("id"))
+
+
+# path expressions over documents
+def over(name: str, type_: str, expression: str, sql: str, key: str = "v") -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        from .functions.fhirpath.udf import path
+
+        docs = Star(spark, d).resource(type_).select(F.col("fhir_id").alias("id"), "content")
+        return path(docs, expression, type_, "v").select("id", F.array_join("v", "|").alias(key))
+
+    QUERIES[name] = run
+    ORACLES[name] = sql
+
+
+_OBS = "SELECT 'e' || event_id AS id, {} AS v FROM events"
+_PAT = "SELECT 'c' || c_custkey AS id, {} AS v FROM customer JOIN nation ON c_nationkey = n_nationkey"
+over("fhirpath_where_select", "Patient", "name.where(family.endsWith('7')).select(family.upper())", _PAT.format("CASE WHEN ends_with(c_name, '7') THEN upper(c_name) ELSE '' END"))
+over("fhirpath_exists_all", "Observation", "code.coding.exists(code = 'click') and component.all(code.coding.exists())", _OBS.format("CASE WHEN event_type = 'click' THEN 'true' ELSE 'false' END"))
+over("fhirpath_aggregate", "Observation", "component.code.coding.code.aggregate($total + $this.length(), 0)", _OBS.format("CAST(length(event_type) + 1 AS VARCHAR)"))
+over("fhirpath_set_ops", "Observation", "(component.code.coding.code | code.coding.code).count()", _OBS.format("'2'"))
+over("fhirpath_subsetting", "Observation", "component.code.coding.code.skip(1).first() & component.code.coding.code.last()", _OBS.format("'kk'"))
+over("fhirpath_string_fns", "Patient", "address.country.first().substring(0, 6) & '-' & name.family.first().replace('#', '/').lower()", _PAT.format("substr(n_name, 1, 6) || '-' || lower(replace(c_name, '#', '/'))"))
+over("fhirpath_math_fns", "Observation", "value.value.floor() + value.value.ceiling()", _OBS.format("CAST(CAST(floor(value) + ceil(value) AS BIGINT) AS VARCHAR)"))
+over("fhirpath_conversions", "Patient", "identifier.value.first().toInteger() + 1", _PAT.format("CAST(c_custkey + 1 AS VARCHAR)"))
+over("fhirpath_three_valued", "Patient", "(active and maritalStatus.text = 'BUILDING') or maritalStatus.text = 'MACHINERY'", _PAT.format("CASE WHEN c_mktsegment = 'MACHINERY' THEN 'true' WHEN c_mktsegment = 'BUILDING' THEN '' ELSE 'false' END"))
+over("fhirpath_date_arith", "Encounter", "(actualPeriod.start + 1 month).toString()", "SELECT 'o' || o_orderkey AS id, strftime(o_orderdate + INTERVAL 1 MONTH, '%Y-%m-%d') AS v FROM orders")
+
+
+@registered("binding_required", "SELECT 'c' || c_custkey AS id, CASE WHEN c_mktsegment IN ('A', 'D', 'I', 'L', 'M', 'P', 'S', 'T', 'U', 'W') THEN 0 ELSE 1 END AS warnings FROM customer")
+def binding_required(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments are no marital status: a warning of the extensible binding for each."""
+    from .operators.validate import validate
+
+    docs = Star(spark, sf_dir).resource("Patient").select("pid", F.col("fhir_id").alias("id"), "content")
+    found = validate(docs).where("severity = 'warning' and code = 'code-invalid'").groupBy("pid").agg(F.count("*").cast("int").alias("n"))
+    return docs.select("pid", "id").join(found, "pid", "left").select("id", F.coalesce("n", F.lit(0)).alias("warnings"))
+
+
+@registered("validate_cardinality", "SELECT severity, code, n FROM (SELECT 'error' AS severity, 'required' AS code, CAST(count(*) AS BIGINT) AS n FROM nation) WHERE n > 0")
+def validate_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations stripped of their identity as communications: status is missing in each."""
+    from .operators.validate import validate
+
+    docs = Star(spark, sf_dir).table("nation").select(F.col("n_nationkey").cast("long").alias("pid"), F.to_json(F.struct(F.lit("Communication").alias("resourceType"), F.concat(F.lit("n"), "n_nationkey").alias("id"))).alias("content"))
+    return validate(docs).groupBy("severity", "code").agg(F.count("*").alias("n"))
+
+
+@registered("extract_tokens", "SELECT 'e' || event_id AS id, 'urn:event' AS system, event_type AS value FROM events")
+def extract_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index rows of documents, by the extractor, against those of the source."""
+    from .operators.extract import indexes, wide_rows
+
+    docs = Star(spark, sf_dir).resource("Observation")
+    rows = indexes(wide_rows(docs))["token"].where("code = 'code'")
+    return rows.join(docs.select("pid", F.col("fhir_id").alias("id")), "pid").select("id", "system", "value")
+
+
+@registered("extract_quantities", f"SELECT 'e' || event_id AS id, round({_LOW}, 6) AS low, round({_HIGH}, 6) AS high FROM events")
+def extract_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators.extract import indexes, wide_rows
+
+    docs = Star(spark, sf_dir).resource("Observation")
+    rows = indexes(wide_rows(docs))["quantity"].where("code = 'value-quantity'")
+    return rows.join(docs.select("pid", F.col("fhir_id").alias("id")), "pid").select("id", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+@registered("elements_subset", "SELECT 'c' || c_custkey AS id, 'resourceType,id,meta,name' AS kept FROM customer ORDER BY c_custkey LIMIT 5")
+def elements_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = engine(spark, sf_dir).bundle("Patient?_elements=name&_count=5")
+    return spark.createDataFrame([(e["resource"]["id"], ",".join(e["resource"])) for e in found["entry"]], "id string, kept string")

@@ -291,7 +291,9 @@ PARAMS = [
     _p("code-value-quantity", "composite", "Observation", "Observation", components=(("code", "token", "code"), ("value-quantity", "quantity", "value.ofType(Quantity)"))),
     _p("component-code-value-quantity", "composite", "Observation", "component", components=(("component-code", "token", "code"), ("component-value-quantity", "quantity", "value.ofType(Quantity)"))),
     _p("priority", "token", "Encounter", "priority"),
-    _p("partof", "reference", "Organization|Location|Encounter", "partOf", "Organization|Location|Encounter"),
+    _p("partof", "reference", "Organization", "partOf", "Organization"),
+    _p("partof", "reference", "Location", "partOf", "Location"),
+    _p("part-of", "reference", "Encounter", "partOf", "Encounter"),
     _p("practitioner", "reference", "PractitionerRole", "practitioner", "Practitioner"),
     _p("organization", "reference", "PractitionerRole|Location", "organization | managingOrganization", "Organization"),
     _p("role", "token", "PractitionerRole", "code"),

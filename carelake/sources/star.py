@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.folding import folded, words
 from ..operators.lower import Tables
-from ..schemas import FULLTEXT, INDEXES, LAST
+from ..schemas import FULLTEXT, INDEXES, LAST, RESOURCE
 
 TYPES = ("Patient", "Organization", "Location", "Encounter", "Observation", "Medication", "DocumentReference", "Communication", "ValueSet")
 #: lastUpdated of all loaded resources: 2024-01-01T00:00:00Z.
@@ -126,7 +126,8 @@ class Star(Tables):
 
     def get(self, table: str, type_: str | None = None, code: str | None = None) -> DataFrame:
         if table == "resource":
-            return reduce(DataFrame.unionByName, [self.resource(t) for t in TYPES if type_ in (None, t)])
+            kinds = [t for t in TYPES if type_ in (None, t)]
+            return reduce(DataFrame.unionByName, map(self.resource, kinds)) if kinds else self.spark.createDataFrame([], RESOURCE)
         fits = [build for kind, t, c, build in self._branches if kind == table and type_ in (None, t) and code in (None, c)]
         if fits:
             return reduce(DataFrame.unionByName, [f() for f in fits])
