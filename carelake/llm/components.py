@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from .common import drop, written
 
+#: Edges to a file, so that small graphs aren't scattered over many.
+EDGES_A_FILE = 200_000
 
-def _sum(edges: DataFrame) -> tuple:
+
+def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.select(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
@@ -20,18 +23,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     are pre-aggregated and joined back, which adaptive execution can split.
     """
     now = written(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a > b").distinct(), "edges")
-    mark = _sum(now)
+    mark = _mark(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
-        large = written(large, "edges")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
-        after = written(small, "edges")
+        after = written(small.coalesce(1 + mark[0] // EDGES_A_FILE), "edges")
         drop(now)
-        drop(large)
-        now, before, mark = after, mark, _sum(after)
+        now, before, mark = after, mark, _mark(after)
         if mark == before:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

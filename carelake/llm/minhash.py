@@ -29,15 +29,17 @@ from .common import row_slices, text_column, written
 from .components import components
 from .wordhash import U, mix, words
 
-#: 40 bands of 5 minima: a pair of similarity 0.8 shares no bucket once in 7 million.
-BANDS, ROWS = 40, 5
-#: Signatures estimate similarity with a deviation of 0.028 at 0.8; five of them below the threshold still pass.
-MARGIN = 0.14
+#: 48 bands of 6 minima: a pair of similarity 0.8 shares no bucket once in 2 million.
+BANDS, ROWS = 48, 6
+#: Bits of a sketch; estimates down to five deviations below the threshold pass.
+BITS, MARGIN = 4096, 0.047
+#: A bucket with more pairs to compare than SMALL is compared in blocks of members.
+SMALL, BLOCK = 64, 256
 
 
 @lru_cache(2)
 def _family(seed: int) -> tuple[np.ndarray, np.ndarray]:
-    x = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=U) + U(seed) * U(0x9E3779B97F4A7C15))
+    x = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=U) + U(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
     a, b = (x >> U(32)).astype(np.uint32)[::2] | np.uint32(1), (x >> U(32)).astype(np.uint32)[1::2]
     return a[:, None], b[:, None]
 
@@ -83,31 +85,83 @@ def _signed(batches, size: int):
 
 
 def _bucketed(batches):
-    salt = mix(np.arange(BANDS, dtype=U) + U(0x5BD1))
     for b in batches:
-        sig = np.frombuffer(b.column(1).buffers()[2] or b"", np.uint16)[: b.num_rows * BANDS * ROWS]
-        if b.column(1).offset or len(sig) != b.num_rows * BANDS * ROWS:
-            sig = np.frombuffer(b"".join(x.as_py() for x in b.column(1)), np.uint16)
-        s = sig.reshape(-1, BANDS, ROWS).astype(U)
-        h = np.broadcast_to(salt, s.shape[:2]).copy()
-        for k in range(ROWS):
-            h = mix(h * U(5) + s[:, :, k])
+        h = _band_names(np.frombuffer(b"".join(x.as_py() for x in b.column(1)), np.uint16))
         yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], ["bucket", "nid"])
 
 
-def _estimated(batches):
+def _band_names(sig: np.ndarray) -> np.ndarray:
+    """Bucket hashes of signatures, a row for each node."""
+    s = sig.reshape(-1, BANDS, ROWS).astype(U)
+    h = np.broadcast_to(mix(np.arange(BANDS, dtype=U) + U(0x5BD1)), s.shape[:2]).copy()
+    for k in range(ROWS):
+        h = mix(h * U(5) + s[:, :, k])
+    return h
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """One bit of each of many minima: at 0.8 the estimate from equal bits has a deviation of 0.009, in 512 bytes."""
+    a, b = _bit_family()
+    x = (s & U(0xFFFFFFFF)).astype(np.uint32)
+    low = np.full(len(a), 0xFFFFFFFF, np.uint32)
+    for k in range(0, len(x), 128):
+        low = np.minimum(low, (a * x[None, k : k + 128] + b).min(axis=1))
+    return np.packbits((mix(low.astype(U)) >> U(63)).astype(np.uint8)).tobytes()
+
+
+@lru_cache(1)
+def _bit_family() -> tuple[np.ndarray, np.ndarray]:
+    x = (mix(np.arange(1, 2 * BITS + 1, dtype=U) + U(0x51ED270B)) >> U(32)).astype(np.uint32)
+    return (x[::2] | np.uint32(1))[:, None], x[1::2][:, None]
+
+
+def _estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return 1 - 2 * np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64) / BITS
+
+
+def _words(column) -> np.ndarray:
+    return np.frombuffer(b"".join(v.as_py() for v in column), U).reshape(len(column), -1)
+
+
+def _estimated(batches, least: float):
+    """Pairs (a, b, x, y) whose sketches estimate least or more."""
     for b in batches:
-        x, y = (np.frombuffer(b"".join(v.as_py() for v in b.column(k)), np.uint16).reshape(b.num_rows, -1) for k in (2, 3))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((x == y).mean(axis=1) if b.num_rows else np.zeros(0))], ["a", "b", "est"])
+        ok = _estimate(_words(b.column(2)), _words(b.column(3))) >= least if b.num_rows else np.zeros(0, bool)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok))
+
+
+def _block(t: pa.Table, least: float) -> pa.Table:
+    """Pairs of a bucket's two blocks of members (side 0 and 1; side 2 a block with itself) in different components.
+
+    A pair is given in the first bucket that it shares only.
+    """
+    nid, comp, side = (t.column(k).to_numpy() for k in ("nid", "comp", "side"))
+    bits = _words(t.column("bits").combine_chunks())
+    names = np.frombuffer(b"".join(x.as_py() for x in t.column("sig")), np.uint16)
+    names = _band_names(names)
+    own = np.flatnonzero((names == t.column("bucket").to_numpy().view(U)[:, None]).any(axis=0))[:1]
+    out: list[np.ndarray] = []
+    left, right = (np.flatnonzero(side == 2),) * 2 if (side == 2).any() else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    for i in left:
+        j = right[(comp[right] != comp[i]) & (nid[right] > nid[i] if left is right else True)]
+        j = j[_estimate(bits[i][None, :], bits[j]) >= least]
+        j = j[~(names[j][:, : own[0]] == names[i][: own[0]]).any(axis=1)]
+        if len(j):
+            out.append(np.stack([np.minimum(nid[i], nid[j]), np.maximum(nid[i], nid[j])]))
+    ab = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+    return pa.table({"a": ab[0], "b": ab[1]})
 
 
 def _sets(batches, size: int):
+    """(nid, sig, text) become (nid, sig, bits, set)."""
     for b in batches:
         arr = text_column(b, "text")
         for lo, hi in row_slices(arr):
             sets = [s.view(np.int64) for s in shingle_sets(arr.slice(lo, hi - lo), size)]
             flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(s) for s in sets])], pa.int32()), pa.array(flat))], ["nid", "set"])
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(s) for s in sets])], pa.int32()), pa.array(flat))
+            bits = pa.array([sketch(s.view(U)) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), bits, lists], ["nid", "sig", "bits", "set"])
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -119,73 +173,52 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = written(slim.mapInArrow(lambda b: _signed(b, size), "doc_id long, node binary, n long, sig binary"), "signed")
     nodes = written(
-        signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig")).withColumn("nid", F.monotonically_increasing_id()),
+        signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig")).withColumn("nid", F.monotonically_increasing_id()),
         "nodes",
     )
     bands = nodes.select("nid", "sig").mapInArrow(_bucketed, "bucket long, nid long")
     shared = bands.groupBy("bucket").agg(F.min("nid").alias("lo"), F.max("nid").alias("hi")).where("lo < hi").select("bucket")
     members = written(bands.join(shared, "bucket", "left_semi"), "members")
-    sigs = nodes.select("nid", "sig")
+    # signatures and whole sets of the nodes that share a bucket
+    wanted = nodes.join(members.select("nid").distinct(), "nid", "left_semi")
+    texts = slim.withColumn("node", F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32)))
+    whole = texts.join(wanted, "node").where(F.col("doc_id").eqNullSafe(F.col("least"))).dropDuplicates(["node"]).select("nid", "sig", "text")
+    known = written(whole.mapInArrow(lambda b: _sets(b, size), "nid long, sig binary, bits binary, set array<long>"), "known")
 
-    def looked_up(pairs: DataFrame) -> DataFrame:
-        """Candidates (a, b) with their estimate, if it passes."""
-        both = pairs.join(sigs.select(F.col("nid").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("nid").alias("b"), F.col("sig").alias("y")), "b")
-        return both.select("a", "b", "x", "y").mapInArrow(_estimated, "a long, b long, est double").where(F.col("est") >= percent / 100 - MARGIN)
+    def both_of(pairs: DataFrame, column: str) -> DataFrame:
+        """The column of both ends, as x and y."""
+        return pairs.join(known.select(F.col("nid").alias("a"), F.col(column).alias("x")), "a").join(known.select(F.col("nid").alias("b"), F.col(column).alias("y")), "b")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """Those of the written pairs (a, b) whose whole sets are similar enough."""
-        need = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid"))).distinct()
-        wanted = nodes.join(need, "nid").select("nid", "node", "least")
-        texts = slim.withColumn("node", F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32)))
-        whole = texts.join(wanted, ["node"]).where(F.col("doc_id").eqNullSafe(F.col("least"))).dropDuplicates(["nid"]).select("nid", "text")
-        sets = written(whole.mapInArrow(lambda b: _sets(b, size), "nid long, set array<long>"), "sets")
-        both = pairs.select("a", "b").join(sets.select(F.col("nid").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("nid").alias("b"), F.col("set").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        return written(both.withColumn("common", common).where(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b"), "links")
-
-    links = tested = comp = None
-    turn, before = 0, None
-    while True:
-        if comp is None:
-            placed = members.withColumn("comp", F.col("nid"))
-        else:
-            placed = members.join(comp.select(F.col("node").alias("nid"), "component"), "nid", "left").select("bucket", "nid", F.coalesce("component", "nid").alias("comp"))
-            mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-            placed = written(placed.join(mixed, "bucket", "left_semi"), "placed")
-            groups = placed.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
-            left = groups.groupBy("bucket").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("p")).select(F.coalesce(F.sum("p"), F.lit(0))).first()[0]
-            if not left:
-                break
-        last = comp is not None and (left <= 4 * before or turn > 6)
-        if last:  # every pair of members in different components, by way of the components that share a bucket
-            kinds = placed.select("bucket", "comp").distinct()
-            pairs = kinds.join(kinds.withColumnRenamed("comp", "other"), "bucket").where("comp < other")
-            pairs = pairs.join(placed.select("bucket", "comp", F.col("nid").alias("a")), ["bucket", "comp"]).join(placed.select("bucket", F.col("comp").alias("other"), F.col("nid").alias("b")), ["bucket", "other"])
-        else:  # a pivot of each bucket, another one in each turn, with the members of other components
-            pivots = placed.groupBy("bucket").agg(F.min_by(F.struct("nid", "comp"), F.xxhash64("bucket", "nid", F.lit(turn))).alias("pivot"))
-            pairs = placed.join(pivots, "bucket").where("comp <> pivot.comp").select(F.col("nid").alias("a"), F.col("pivot.nid").alias("b"))
+        """Those of the pairs (a, b) whose whole sets are similar enough."""
+        both = both_of(pairs, "set").withColumn("common", F.size(F.array_intersect("x", "y")))
+        return both.where(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
+
+    least = percent / 100 - MARGIN
+
+    def near(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        close = written(looked_up(pairs), "close")
-        tested = close.select("a", "b") if tested is None else tested.unionByName(close.select("a", "b"))
-        # first each node's closest partner; of the others only pairs that still lie in two components
-        each = close.unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b"), "est"))
-        best = each.groupBy("a").agg(F.max_by("b", F.struct("est", F.col("b"))).alias("b"))
-        best = written(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "best")
-        found = confirmed(best)
-        links = found if links is None else links.unionByName(found)
-        comp = written(components(links), "components")
-        at = comp.select("node", "component")
-        rest = close.select("a", "b").join(best, ["a", "b"], "left_anti")
-        rest = rest.join(at.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(at.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-        rest = written(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "rest")
-        if not rest.isEmpty():
-            links = links.unionByName(confirmed(rest))
-            comp = written(components(links), "components")
-        if last:
-            break
-        turn, before = turn + 1, members.count() if before is None else before
+        return both_of(pairs, "bits").select("a", "b", "x", "y").mapInArrow(lambda b: _estimated(b, least), "a long, b long")
+
+    # every member with a pivot of its bucket: most links' components come of it
+    pivots = members.groupBy("bucket").agg(F.min_by("nid", F.xxhash64("bucket", "nid")).alias("pivot"))
+    first = written(near(members.join(pivots, "bucket").where("nid <> pivot").select(F.col("nid").alias("a"), F.col("pivot").alias("b"))), "near")
+    comp = components(confirmed(first))
+    # then all members of a bucket that still lie in different components: few pairs by a join, many in blocks
+    placed = members.join(comp.select(F.col("node").alias("nid"), "component"), "nid", "left").select("bucket", "nid", F.coalesce("component", "nid").alias("comp"))
+    groups = placed.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
+    mixed = groups.groupBy("bucket").agg(F.sum("k").alias("n"), (F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("twice")).where("twice > 0")
+    placed = written(placed.join(mixed, "bucket"), "placed")
+    few = placed.where(F.col("twice") <= 2 * SMALL).select("bucket", "nid", "comp")
+    pairs = few.join(few.select("bucket", F.col("nid").alias("other"), F.col("comp").alias("comp2")), "bucket").where("comp < comp2").select(F.col("nid").alias("a"), F.col("other").alias("b"))
+    rest = near(pairs)
+    many = placed.where(F.col("twice") > 2 * SMALL).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("i", F.pmod(F.xxhash64("nid"), "parts").cast("int"))
+    cells = many.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = cells.select("bucket", "nid", "comp", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.when(F.col("i") == F.col("j"), 2).otherwise((F.col("i") > F.col("j")).cast("int")).alias("side"))
+    cells = cells.join(known.select("nid", "sig", "bits"), "nid").groupBy("bucket", "lo", "hi").applyInArrow(lambda t: _block(t, least), "a long, b long")
+    rest = written(rest.unionByName(cells).distinct().join(first, ["a", "b"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        comp = components(confirmed(rest).unionByName(comp.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))))
     named = nodes.select("nid", "node", "least").join(comp.select(F.col("node").alias("nid"), "component"), "nid", "left").withColumn("component", F.coalesce("component", "nid"))
     named = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
     out = signed.select("doc_id", "node", F.col("n").alias("n_shingles")).join(named, "node", "left")
