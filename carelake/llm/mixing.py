@@ -88,8 +88,8 @@ def domain() -> Column:
 WEIGHTS: dict = {"web": 5.0, "books": 3.0, "code": 2.0, "en": 6.0, "de": 2.0, "fr": 2.0, "es": 1.0}
 
 
-def plan(docs: DataFrame, *keep: str, weights: Mapping | None = None, fraction: float = 0.7, max_epochs: int = 1, seed: int = 17) -> DataFrame:
-    """Rows of docs with the columns of keep and domain, __lang, __source, n_tokens, copies: how often each is taken, 0 included.
+def _planned(docs: DataFrame, *keep: str, weights: Mapping | None = None, fraction: float = 0.7, max_epochs: int = 1, seed: int = 17) -> DataFrame:
+    """Rows of docs: __keep (a struct of the columns of keep), domain, lang, source, n_tokens, copies: how often each is taken, 0 included.
 
     The total is fraction times all tokens of docs; fraction may exceed 1 where
     max_epochs does. A leaf's prefix is kept as the last place in its order that
@@ -123,14 +123,21 @@ def plan(docs: DataFrame, *keep: str, weights: Mapping | None = None, fraction:
     cuts = inner.withColumn("before", before).where("before < last").groupBy("__leaf").agg(F.max("place").alias("__cut"))
     marks = F.broadcast(leaves.join(F.broadcast(cuts), "__leaf", "left"))
 
-    d = docs.select(*[F.col(c).alias(c) for c in keep], *leaf, tokens().alias("n_tokens"), F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__text"))
-    d = d.join(marks.withColumnsRenamed({"domain": "__d", "__lang": "__l", "__source": "__s"}), F.col("domain").eqNullSafe(F.col("__d")) & F.col("__lang").eqNullSafe(F.col("__l")) & F.col("__source").eqNullSafe(F.col("__s")), "left")
+    d = docs.select(F.struct(*keep).alias("__keep") if keep else F.lit(None).alias("__keep"), *[c.alias(f"__{k}") for k, c in enumerate(leaf)], tokens().alias("__n"), F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__text"))
+    marks = marks.select(*[F.col(c).alias(f"__m{k}") for k, c in enumerate(path)], F.col("__epochs"), "__cut")
+    d = d.join(marks, F.col("__0").eqNullSafe(F.col("__m0")) & F.col("__1").eqNullSafe(F.col("__m1")) & F.col("__2").eqNullSafe(F.col("__m2")), "left")
     taken = F.coalesce(place(F.col("__epochs"), F.col("__id"), F.col("__text")) <= F.col("__cut"), F.lit(False)).cast("int")
-    copies = F.when(F.col("n_tokens") == 0, F.lit(0)).otherwise(F.col("__epochs") + taken)
-    return d.select(*keep, "domain", "__lang", "__source", "n_tokens", copies.cast("int").alias("copies"))
+    copies = F.when(F.col("__n") == 0, F.lit(0)).otherwise(F.col("__epochs") + taken)
+    return d.select("__keep", F.col("__0").alias("domain"), F.col("__1").alias("lang"), F.col("__2").alias("source"), F.col("__n").alias("n_tokens"), copies.cast("int").alias("copies"))
+
+
+def plan(docs: DataFrame, *keep: str, **options) -> DataFrame:
+    """The columns of keep with domain, lang, source, n_tokens and copies."""
+    d = _planned(docs, *keep, **options)
+    return d.select("__keep.*", *d.columns[1:]) if keep else d.drop("__keep")
 
 
 def take(docs: DataFrame, **options) -> DataFrame:
     """The documents taken, all columns, each as often as its copies."""
-    d = plan(docs, *docs.columns, **options)
-    return d.where("copies > 0").withColumn("__again", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    d = _planned(docs, *docs.columns, **options).where("copies > 0")
+    return d.select("__keep", F.explode(F.sequence(F.lit(1), "copies"))).select("__keep.*")

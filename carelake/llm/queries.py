@@ -58,8 +58,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = mixing.plan(table(spark, sf_dir, "documents"), "doc_id", fraction=1.0, max_epochs=3)
-    return d.withColumnsRenamed({"__lang": "lang", "__source": "source"})
+    return mixing.plan(table(spark, sf_dir, "documents"), "doc_id", fraction=1.0, max_epochs=3)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_segments, op2_projected_neighbours, op3_url_filter, op4_sentencepiece, op5_near_duplicates, op6_substring_dedup, op7_quality_rules, op8_toxicity, op9_license_scan, op10_mixing)}
