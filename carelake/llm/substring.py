@@ -6,6 +6,9 @@ index with every rolling window of all texts misses no repeat. Hits are extended
 to all windows around them, whose owners are compared by the smallest doc_id;
 neighbouring repeated windows join to maximal exact repeats (spans of words).
 
+A text that equals an earlier document's whole text is a repeat from its first to
+its last word; such copies are found by hash groups first and enter no index.
+
 The index travels as a blocked Bloom filter of bounded size. It only saves
 shuffling: false positives are settled by the exact grouping that follows, and
 beyond its bound the blocks are dealt over several passes.
@@ -33,6 +36,8 @@ from .wordhash import U, windows, words
 #: Bits of a filter at most (64 MB); each 64-bit cell is 12 bytes on its way.
 MAX_CELLS = 1 << 23
 _CELL_BITS = 4
+#: End of a copy's span: its last word, wherever that is.
+TO_END = (1 << 31) - 1
 
 
 def _cells(h: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,6 +57,29 @@ def _filter(df: DataFrame, cells: int):
     return df.sparkSession.sparkContext.broadcast(out.tobytes())
 
 
+def _names(name: np.ndarray, have: np.ndarray) -> np.ndarray:
+    """Which 64-bit names a filter may hold."""
+    cell, mask = _cells(name.view(U), len(have))
+    return have[cell] & mask == mask
+
+
+def _named(df: DataFrame, sent: list | None):
+    """A filter of df(name long) as big as its rows need, up to MAX_CELLS, and how many rows there are."""
+    n, cells = df.count(), 1 << 10
+    while cells < MAX_CELLS and cells * 3 < n:
+        cells *= 2
+
+    def masks(batches):
+        for b in batches:
+            cell, mask = _cells(b.column(0).to_numpy().view(U), cells)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(mask.view(np.int64))], ["cell", "mask"])
+
+    index = _filter(df.mapInArrow(masks, "cell int, mask long"), cells)
+    if sent is not None:
+        sent.append(index)
+    return index
+
+
 def _rolling(batch: pa.RecordBatch, width: int) -> Iterator[tuple]:
     """For slices of the batch: first row, words, hashes of blocks, first words of these, row of each."""
     arr = text_column(batch, "text")
@@ -62,16 +90,41 @@ def _rolling(batch: pa.RecordBatch, width: int) -> Iterator[tuple]:
         yield lo, w, h, at, row
 
 
-def repeats(docs: DataFrame, window: int = 50) -> DataFrame:
+def repeats(docs: DataFrame, window: int = 50, sent: list | None = None) -> DataFrame:
     """Maximal exact repeats: rows (doc_id, key, spans array<struct<begin,end>>) of documents that have any.
 
-    key is the text's xxhash64, which tells apart rows that share a doc_id.
+    key is the text's xxhash64, which tells apart rows that share a doc_id; the span
+    of a copy of a whole earlier text ends at TO_END. sent
+    receives the broadcasts, which may go once the result is written.
     """
     if window < 2:
         raise ValueError("a window has two words at least")
-    spark, block = docs.sparkSession, window // 2
+    block = window // 2
     src = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text"))
-    texts = src.select("text")
+    src = src.withColumn("name", F.xxhash64("doc_id", "key"))
+    # copies of whole texts, by two independent hashes
+    slim = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.xxhash64(F.lit(1), "text").alias("other"))
+    least = slim.groupBy("key", "other").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    copies = written(slim.join(least, ["key", "other"]).where("doc_id > least").select("doc_id", "key", F.xxhash64("doc_id", "key").alias("name")).distinct(), "copies")
+    known = _named(copies.select("name"), sent)
+
+    def possible(batches):
+        for b in batches:
+            yield b.filter(pa.array(_names(b.column(2).to_numpy(), np.frombuffer(known.value, U))))
+
+    # the few that the filter takes for copies by mistake come back as a table of their own
+    stray = slim.select("doc_id", "key", F.xxhash64("doc_id", "key").alias("name")).mapInArrow(possible, "doc_id long, key long, name long").join(copies.select("doc_id", "key"), ["doc_id", "key"], "left_anti").distinct()
+    extra = written(src.join(stray.select("doc_id", "key"), ["doc_id", "key"], "left_semi"), "stray")
+
+    def over(f, schema: str) -> DataFrame:
+        """f over batches of (doc_id, key, text) of all documents that are no later copies."""
+
+        def fresh(batches):
+            have = np.frombuffer(known.value, U)
+            yield from f(b.filter(pa.array(~_names(b.column(3).to_numpy(), have))) for b in batches)
+
+        columns = ["doc_id", "key", "text", "name"]
+        return src.select(*columns).mapInArrow(fresh, schema).unionByName(extra.select(*columns).mapInArrow(f, schema))
 
     def blocks(batches):
         for b in batches:
@@ -79,7 +132,7 @@ def repeats(docs: DataFrame, window: int = 50) -> DataFrame:
                 h = np.unique(h[(at - w.first[row]) % block == 0])
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
 
-    n = texts.select(F.sum(F.length("text"))).first()[0] or 0
+    n = src.select(F.sum(F.length("text"))).first()[0] or 0
     cells = 1 << 12
     while cells < MAX_CELLS and cells * 3 * block * 5 < n:  # a block has five characters a word at least, mostly
         cells *= 2
@@ -94,7 +147,10 @@ def repeats(docs: DataFrame, window: int = 50) -> DataFrame:
                 cell, mask = _cells(h[h % U(passes) == U(p)], cells)
                 yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(mask.view(np.int64))], ["cell", "mask"])
 
-        index = _filter(texts.mapInArrow(masks, "cell int, mask long"), cells)
+        index = _filter(over(masks, "cell int, mask long"), cells)
+
+        if sent is not None:
+            sent.append(index)
 
         def probe(batches, index=index, p=p):
             have = np.frombuffer(index.value, U)
@@ -108,7 +164,7 @@ def repeats(docs: DataFrame, window: int = 50) -> DataFrame:
                     got = got[:, np.r_[True, np.any(got[:2, 1:] != got[:2, :-1], axis=0)]] if got.shape[1] else got  # own = 0 sorts first
                     yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[2].astype(np.int32))], ["h", "own"])
 
-        found = texts.mapInArrow(probe, "h long, own int").groupBy("h").agg(F.count("*").alias("n"), F.max("own").alias("own"), F.min("own").alias("rolling")).where("n > 1")
+        found = over(probe, "h long, own int").groupBy("h").agg(F.count("*").alias("n"), F.max("own").alias("own"), F.min("own").alias("rolling")).where("n > 1")
         hits = found.select("h") if hits is None else hits.unionByName(found.select("h"))
 
     def hit_masks(batches):
@@ -118,6 +174,9 @@ def repeats(docs: DataFrame, window: int = 50) -> DataFrame:
 
     repeated = _filter(hits.mapInArrow(hit_masks, "cell int, mask long"), cells)
 
+    if sent is not None:
+        sent.append(repeated)
+
     def extend(batches):
         have = np.frombuffer(repeated.value, U)
         for b in batches:
@@ -126,15 +185,17 @@ def repeats(docs: DataFrame, window: int = 50) -> DataFrame:
                 cell, mask = _cells(h, cells)
                 hit = have[cell] & mask == mask
                 size = len(w.hashes) + 1
-                live = np.bincount(np.maximum(at[hit] - (window - block), 0), minlength=size) - np.bincount(at[hit] + 1, minlength=size)  # windows that hold a hit block
+                # windows that hold a hit block; one of the document's own blocks is among the hits of a repeat
+                own = hit & ((at - w.first[row]) % block == 0)
+                live = [np.bincount(np.maximum(x - (window - block), 0), minlength=size) - np.bincount(x + 1, minlength=size) for x in (at[hit], at[own])]
                 long, begin = windows(w.hashes, w.first, window)
-                keep = np.cumsum(live)[begin] > 0
+                keep = (np.cumsum(live[0])[begin] > 0) & (np.cumsum(live[1])[begin] > 0)
                 row = np.searchsorted(w.first, begin[keep], "right") - 1
                 yield pa.RecordBatch.from_arrays([
                     pa.array(long[keep].view(np.int64)), pa.array(ids[row + lo]), pa.array(keys[row + lo]), pa.array((begin[keep] - w.first[row]).astype(np.int32)),
                 ], ["h", "doc_id", "key", "at"])
 
-    wide = src.mapInArrow(extend, "h long, doc_id long, key long, at int")
+    wide = over(extend, "h long, doc_id long, key long, at int")
     first = wide.groupBy("h").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest")).where("earliest < latest").drop("latest")
     later = wide.join(first, "h").where("doc_id > earliest").groupBy("doc_id", "key").agg(F.collect_set("at").alias("at"))
 
@@ -149,10 +210,11 @@ def repeats(docs: DataFrame, window: int = 50) -> DataFrame:
                 spans.append([{"begin": int(x), "end": int(y)} for x, y in zip(begins, ends)])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, kind)], ["doc_id", "key", "spans"])
 
-    return later.mapInArrow(joined, "doc_id long, key long, spans array<struct<begin:int,end:int>>")
+    spans = later.mapInArrow(joined, "doc_id long, key long, spans array<struct<begin:int,end:int>>")
+    return spans.unionByName(copies.select("doc_id", "key", F.expr(f"array(named_struct('begin', 0, 'end', {TO_END}))").alias("spans")))
 
 
-def _cut(batches, full: bool):
+def _cut(batches, full: bool, window: int):
     """Words outside the spans. full: the text with its own spacing where nothing goes; else counts and a digest."""
     for b in batches:
         names = b.schema.names
@@ -161,8 +223,8 @@ def _cut(batches, full: bool):
         for text, span in zip(arr, spans):
             data = text.as_buffer().to_pybytes()
             w = data.split()
-            gone = np.zeros(len(w) + 1, bool)
-            for s in span.as_py() or ():
+            gone = np.zeros(len(w), bool)
+            for s in (span.as_py() or ()) if len(w) >= window else ():
                 gone[s["begin"] : s["end"]] = True
             k = int(gone.sum())
             n_words.append(len(w))
@@ -179,34 +241,33 @@ def _cut(batches, full: bool):
 
 def _apply(docs: DataFrame, window: int, full: bool, schema) -> DataFrame:
     """Joins the spans to the documents that have any; a filter of these spares the others' texts the shuffle."""
-    found = written(repeats(docs, window), "repeats")
-    n, cells = found.count(), 1 << 10
-    while cells < MAX_CELLS and cells * 3 < n:
-        cells *= 2
-
-    def names(batches):
-        for b in batches:
-            cell, mask = _cells(b.column(0).to_numpy().view(U), cells)
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(mask.view(np.int64))], ["cell", "mask"])
-
-    index = _filter(found.select(F.xxhash64("doc_id", "key").alias("name")).mapInArrow(names, "cell int, mask long"), cells)
+    sent: list = []
+    found = written(repeats(docs, window, sent), "repeats")
+    for b in sent:
+        b.unpersist()
+    index = _named(found.select(F.xxhash64("doc_id", "key").alias("name")), None)
 
     def side(batches, maybe: bool):
         have = np.frombuffer(index.value, U)
         for b in batches:
-            cell, mask = _cells(b.column(b.num_columns - 1).to_numpy().view(U), cells)
-            got = b.filter(pa.array((have[cell] & mask == mask) == maybe))
+            got = b.filter(pa.array(_names(b.column(b.num_columns - 1).to_numpy(), have) == maybe))
             if got.num_rows:
                 yield got
 
     named = docs.withColumn("__key", F.xxhash64("text")).withColumn("__name", F.xxhash64(F.col("doc_id").cast("long"), "__key"))
-    kind = "array<struct<begin:int,end:int>>"
-    free = named.mapInArrow(lambda b: side(b, False), named.schema).withColumn("__spans", F.lit(None).cast(kind))
+    plain = ["__key", "__name"]
+
+    def without(batches):
+        """Documents that have no spans for certain, in the same pass that tells them apart."""
+        for b in side(batches, False):
+            b = b.drop_columns(plain)
+            yield from _cut([b.append_column("__spans", pa.nulls(b.num_rows, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))))], full, window)
+
+    free = named.mapInArrow(without, schema)
     held = named.mapInArrow(lambda b: side(b, True), named.schema)
     marks = found.select(F.col("doc_id").alias("__id"), F.col("key").alias("__of"), F.col("spans").alias("__spans"))
-    held = held.join(marks, (held["doc_id"].cast("long") == F.col("__id")) & (held["__key"] == F.col("__of")), "left").drop("__id", "__of")
-    drop = ["__key", "__name"]
-    return free.drop(*drop).mapInArrow(lambda b: _cut(b, full), schema).unionByName(held.drop(*drop).mapInArrow(lambda b: _cut(b, full), schema))
+    held = held.join(marks, (held["doc_id"].cast("long") == F.col("__id")) & (held["__key"] == F.col("__of")), "left").drop("__id", "__of", *plain)
+    return free.unionByName(held.mapInArrow(lambda b: _cut(b, full, window), schema))
 
 
 def digest(docs: DataFrame, window: int = 50) -> DataFrame:
