@@ -280,7 +280,7 @@ def _run(batches: Iterator[pa.RecordBatch], model, seed: int, dropout: float, va
     for b in batches:
         ids, arr = b.column(0), text_column(b, "text")
         key = variant_of(ids.fill_null(0).to_numpy(zero_copy_only=False), variants, seed)
-        for lo, hi in row_slices(arr, 1 << 21):
+        for lo, hi in row_slices(arr):
             part = arr.slice(lo, hi - lo)
             texts = part.to_pylist()
             got, off = c.encode(texts, key[lo:hi], seed, dropout)
@@ -290,6 +290,7 @@ def _run(batches: Iterator[pa.RecordBatch], model, seed: int, dropout: float, va
                 cols.append(pa.array([x == t.encode("utf-8", "surrogatepass") for x, t in zip(c.decode(got, off), texts)]))
                 names.append("lossless")
             yield pa.RecordBatch.from_arrays(cols, names)
+        pa.default_memory_pool().release_unused()
 
 
 def _shared(spark: SparkSession, model: bytes | None):
