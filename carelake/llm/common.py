@@ -62,7 +62,7 @@ def _clean() -> None:
             return
 
 
-def row_slices(arr: pa.StringArray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def row_slices(arr: pa.StringArray, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Row ranges of a text column holding about limit bytes each, one row at least."""
     import numpy as np
 
