@@ -4,7 +4,8 @@ A text is lower-cased (A-Z in effect: letters beyond ASCII only ever form words
 their own) and reduced to its words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` with single
 spaces around each. A rule is a gate and a keyword, a regular expression over that
 form, a label, a priority and a confidence. Only rules whose gate and keyword both
-occur are run, and texts without any gate meet no rule at all. A hit
+occur are run, and texts without any gate meet no rule at all: both are part of
+every text that the pattern can match, so no hit is lost by them. A hit
 that lies inside a hit of another rule is dropped if that one is longer or of
 higher priority.
 
@@ -69,8 +70,8 @@ FAMILIES = (
 
 #: Rules of one form each: keyword, pattern, label, priority, confidence.
 SINGLE = (
-    ("without restriction", "permission is hereby granted free of charge to any person obtaining a copy", "mit", 90, 0.95),
-    ("merchantability", "permission to use copy modify and or distribute this software for any purpose", "isc", 90, 0.95),
+    ("permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy", "mit", 90, 0.95),
+    ("permission to use copy", "permission to use copy modify and or distribute this software for any purpose", "isc", 90, 0.95),
     ("redistributions", "redistributions of source code must retain the above copyright notice", "bsd", 80, 0.9),
     ("redistributions", "redistributions in binary form must reproduce the above copyright notice", "bsd", 80, 0.9),
     ("endorse", "neither the name of (?:\\w+ ){1,8}nor the names of its contributors may be used to endorse", "bsd-3-clause", 90, 0.95),
@@ -84,15 +85,15 @@ SINGLE = (
     ("all rights reserved", "all rights reserved", "all-rights-reserved", 20, 0.6),
     ("copyright", "copyright (?:c )?(?:19|20)\\d\\d(?: (?:19|20)\\d\\d)?", "copyright-notice", 10, 0.5),
     ("proprietary", "proprietary and confidential", "proprietary", 60, 0.8),
-    ("proprietary", "unauthorized copying of this file", "proprietary", 60, 0.85),
+    ("unauthorized copying", "unauthorized copying of this file", "proprietary", 60, 0.85),
     ("unauthorized", "unauthorized (?:copying|reproduction|distribution) (?:\\w+ ){0,4}(?:prohibited|forbidden)", "proprietary", 60, 0.85),
     ("free software", "this program is free software you can redistribute it and or modify", "gpl", 85, 0.9),
     ("as is", "(?:software|work) is provided as is without warranty of any kind", "as-is-disclaimer", 30, 0.5),
-    ("all risk", "provided as is with all (?:faults|risk)", "as-is-disclaimer", 30, 0.5),
+    ("provided as is with all ", "provided as is with all (?:faults|risk)", "as-is-disclaimer", 30, 0.5),
     ("python", "python software foundation licen[cs]e", "psf", 70, 0.9),
     ("php", "php licen[cs]e", "php", 70, 0.85),
     ("openssl", "openssl licen[cs]e", "openssl", 70, 0.85),
-    ("sqlite", "the author disclaims copyright to this source code", "blessing", 80, 0.9),
+    ("disclaims copyright", "the author disclaims copyright to this source code", "blessing", 80, 0.9),
 )
 
 
@@ -111,7 +112,7 @@ def signatures() -> list[Signature]:
                 Signature("licen", f" {short}", f"{short}{f' v?{v}' if v else ''} {lic}", full, 60 + lift, 0.85),
             ]
             if v:
-                out += [Signature(key, f" {v}", f"{name} (?:{lic} )?(?:version |v)?{v}", full, 75 + lift, 0.9)]
+                out += [Signature(key, f"{v} ", f"{name} (?:{lic} )?(?:version |v)?{v}", full, 75 + lift, 0.9)]
         out += [
             Signature("ed under ", key, f"(?:licensed|released|distributed) under (?:the )?(?:terms of (?:the )?)?(?:an? )?{name}", label, 65 + lift, 0.85),
             Signature("licen", key, f"{name} (?:\\w+ )?{lic}", label, 40 + lift, 0.8),

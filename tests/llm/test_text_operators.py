@@ -190,6 +190,43 @@ def test_licenses(spark):
     assert licenses.scan(make(spark, []), "doc_id").collect() == []
 
 
+def spelled(parsed):
+    """Texts of a rule's pattern with every branch taken, each repeat at its least and once more."""
+    out = [""]
+    for op, arg in parsed:
+        if str(op) == "LITERAL":
+            got = [chr(arg)]
+        elif str(op) == "IN":
+            got = [chr(x) for kind, x in arg if str(kind) == "LITERAL"] or ["7" if "DIGIT" in str(arg) else "q"]
+        elif str(op) == "BRANCH":
+            got = [t for b in arg[1] for t in spelled(b)]
+        elif str(op) == "SUBPATTERN":
+            got = spelled(arg[-1])
+        elif str(op) == "MAX_REPEAT":
+            got = [t * n for n in {arg[0], min(arg[0] + 1, arg[1])} for t in spelled(arg[2])]
+        else:
+            raise AssertionError(op)
+        out = [a + b for a in out for b in got]
+    return out
+
+
+def test_license_keywords_are_part_of_every_match():
+    for r in licenses.signatures():
+        for t in spelled(re._parser.parse(r.pattern)):
+            assert re.fullmatch(r.pattern, t) and r.gate in f" {t} " and r.keyword in f" {t} ", (r, t)
+
+
+def test_license_wordings_without_other_keywords(spark):
+    want = {
+        "Apache License v2.0": "apache-2.0", "GNU General Public License v3": "gpl-3", "Mozilla Public License v2.0": "mpl-2.0", "Eclipse Public License v2.0": "epl-2.0",
+        "provided as is, with all faults": "as-is-disclaimer", "The author disclaims copyright to this source code.": "blessing", "Unauthorized copying of this file": "proprietary",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy": "mit", "Permission to use, copy, modify, and/or distribute this software for any purpose": "isc",
+    }
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan(make(spark, list(enumerate(want))), "doc_id").collect()}
+    for k, (text, label) in enumerate(want.items()):
+        assert label in got[k], text
+
+
 def test_toxicity(spark):
     r = random.Random(2)
     words = [f"t{k}" for k in range(200)]
