@@ -3,19 +3,21 @@
 A text is turned into symbols (one for each character the vocabulary knows) and
 pairs of neighbours whose concatenation is a piece are merged by the pieces'
 scores, best first and leftmost among equals. A keyed hash of the seed, the
-document's variant, the pair's place and its piece skips a share of the candidate
-merges for good, so that variants of one word differ while every segmentation
-spells the same text. Characters without a piece, and a literal U+2581, are
+doc_id, the pair's place in the text and its piece skips a share of the candidate
+merges for good, so that each occurrence of a word is cut by itself while every
+segmentation spells the same text. Characters without a piece, and a literal U+2581, are
 spelled by byte pieces, so decoding gives back every text exactly.
 
 No piece joins characters across the start of a run of blanks or across a
-character without a piece, so a text is cut there into units, and equal units of a
-variant are encoded once in each slice of a batch: all of them at the same time,
-a merge of each unit in every round. Units too long for that run through the
-agenda one by one.
+character without a piece, so a text is cut there into units. Equal units are
+encoded once in each slice of a batch without dropout, noting every candidate
+merge; an occurrence takes this over where none of these candidates is skipped,
+since its merges are the same then. All other occurrences are encoded by
+themselves. Units are encoded at the same time, a merge of each in every round;
+those too long for that run through the agenda one by one.
 
 Cases: null and empty texts have no pieces and decode to the empty text; nulls in
-doc_id fall in variant 0; repeated rows are encoded alike; an empty table gives an
+doc_id are keyed as 0; repeated rows are encoded alike; an empty table gives an
 empty result; other columns are never read.
 """
 
@@ -72,6 +74,7 @@ class Codec:
         order = sorted(plain, key=lambda i: (-sp.get_score(i), i))
         self.rank = np.full(n, NEVER, np.int32)
         self.rank[order] = np.arange(len(order), dtype=np.int32)
+        self.by_rank = np.array(order, np.int32)
         self.single = np.full(0x110000, -1, np.int32)
         for p, i in self.of.items():
             if len(p) == 1:
@@ -119,13 +122,18 @@ class Codec:
             live, key, at = live[on], key[on], (at[on] + 1) & (self.size - 1)
         return out
 
-    def skipped(self, start: np.ndarray, piece: np.ndarray, variant: np.ndarray, seed: int, dropout: float) -> np.ndarray:
-        """Whether the merge to piece at a character offset within its unit is dropped."""
-        h = mix((start.astype(U) << U(32)) ^ piece.astype(U) ^ mix(variant.astype(U) + U(seed * 0x9E3779B97F4A7C15 % (1 << 64))))
+    def keyed(self, doc: np.ndarray, seed: int) -> np.ndarray:
+        """The keys of documents by their doc_id."""
+        return mix(doc.astype(U) + U(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
+
+    def skipped(self, place: np.ndarray, piece: np.ndarray, key: np.ndarray, dropout: float) -> np.ndarray:
+        """Whether the merge to piece at a place in the text is dropped."""
+        h = mix((place.astype(U) << U(32)) ^ piece.astype(U) ^ key)
         return (h >> U(11)).astype(np.float64) * 2.0**-53 < dropout
 
-    def agenda(self, symbols: np.ndarray, variant: int, seed: int, dropout: float) -> list[int]:
-        """One unit through a priority queue of candidate merges; the positions left over hold the pieces."""
+    def agenda(self, symbols: np.ndarray, doc: int, seed: int, dropout: float, place: int = 0) -> list[int]:
+        """One unit that begins at a place in the text through a priority queue of candidate merges; the positions left over hold the pieces."""
+        key = self.keyed(np.array([doc]), seed)
         s, n = [int(x) for x in symbols], len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         queue: list[tuple[int, int, int, int, int]] = []
@@ -134,7 +142,7 @@ class Codec:
             j = after[i]
             if j < n and s[i] >= 0 and s[j] >= 0:
                 p = int(self.merged(np.array([s[i]]), np.array([s[j]]))[0])
-                if p >= 0 and not (dropout and self.skipped(np.array([i]), np.array([p]), np.array([variant]), seed, dropout)[0]):
+                if p >= 0 and not (dropout and self.skipped(np.array([place + i]), np.array([p]), key, dropout)[0]):
                     heapq.heappush(queue, (int(self.rank[p]), i, s[i], s[j], p))
 
         for i in range(n - 1):
@@ -153,56 +161,68 @@ class Codec:
             offer(i)
         return [x for x, g in zip(s, gone) if not g]
 
-    def together(self, flat: np.ndarray, unit: np.ndarray, offset: np.ndarray, variant: np.ndarray, seed: int, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-        """Many units at once, symbols flat with unit numbers ascending and offsets within the unit: pieces and their units."""
-        count = int(unit[-1]) + 1 if len(unit) else 0
-        done_s, done_u, done_o = [], [], []
-
-        def ranks(s, u, o):
-            p = np.full(len(s), -1, np.int32)
-            p[:-1] = np.where(u[1:] == u[:-1], self.merged(s[:-1], s[1:]), -1)
+    def pairs(self, s: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The pieces of all pairs of neighbours within a unit, else -1."""
+        p = np.full(len(s), -1, np.int32)
+        p[:-1] = np.where(u[1:] == u[:-1], self.merged(s[:-1], s[1:]), -1)
+        return p
+
+    def together(self, flat: np.ndarray, unit: np.ndarray, offset: np.ndarray, doc: np.ndarray, seed: int, dropout: float, place: np.ndarray | None = None, pairs: np.ndarray | None = None, seen: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Many units at once, symbols flat with unit numbers ascending and offsets within the unit: pieces and their units.
+
+        doc and place are those of each unit, pairs is what pairs() gives for flat;
+        seen takes the units, offsets and pieces of all candidate merges.
+        """
+        if dropout:
+            key = self.keyed(doc, seed)
+            begin = np.zeros(len(doc), np.int64) if place is None else place
+        step = WIDE + 2
+
+        def offered(pos, p):
+            """What candidate merges at places of flat are taken by: rank, then offset."""
+            order, at = np.full(len(p), NEVER, np.int32), np.flatnonzero(p >= 0)
+            u, o, q = unit[pos[at]], offset[pos[at]], p[at]
+            if seen is not None:
+                seen.append((u, o, q))
             if dropout:
-                at = np.flatnonzero(p >= 0)
-                p[at[self.skipped(o[at], p[at], variant[u[at]], seed, dropout)]] = -1
-            return p
-
-        s, u, o = flat, unit, offset
-        p = ranks(s, u, o) if len(s) else np.zeros(0, np.int32)
+                stay = np.flatnonzero(~self.skipped(begin[u] + o, q, key[u], dropout))
+                at, o, q = at[stay], o[stay], q[stay]
+            order[at] = self.rank[q] * step + o
+            return order
+
+        s, pos = flat.copy(), np.arange(len(flat), dtype=np.int32)
+        r = offered(pos, self.pairs(flat, unit) if pairs is None else pairs)
+        first = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]]) if len(s) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[first, len(s)])
+        out, left = np.empty(len(flat), np.int32), np.zeros(len(flat), bool)
         while len(s):
-            r = np.where(p >= 0, self.rank[p], NEVER).astype(np.int64) * (WIDE + 2) + np.minimum(o, WIDE + 1)
-            first = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
             low = np.minimum.reduceat(r, first)
-            open_ = low < np.int64(NEVER) * (WIDE + 2)
-            size = np.diff(np.r_[first, len(s)])
-            stay = np.repeat(open_, size)
-            if not stay.all():
-                done_s.append(s[~stay]), done_u.append(u[~stay]), done_o.append(o[~stay])
-                s, u, o, p, r = s[stay], u[stay], o[stay], p[stay], r[stay]
-                if not len(s):
-                    break
-                low, size = low[open_], size[open_]
-            at = np.flatnonzero(r == np.repeat(low, size))
-            s = s.copy()
-            s[at] = p[at]
-            keep = np.ones(len(s), bool)
-            keep[at + 1] = False
-            s, u, o, p = s[keep], u[keep], o[keep], p[keep]
-            at = at - np.arange(len(at))  # merged places after removal
-            near = np.stack([at - 1, at], axis=1).ravel()  # ascending, as places are
-            near = near[np.r_[True, near[1:] != near[:-1]] & (near >= 0)]
-            nxt = np.minimum(near + 1, len(s) - 1)
-            new = np.where((nxt > near) & (u[nxt] == u[near]), self.merged(s[near], s[nxt]), -1)
-            if dropout:
-                c = np.flatnonzero(new >= 0)
-                new[c[self.skipped(o[near[c]], new[c], variant[u[near[c]]], seed, dropout)]] = -1
-            p[near] = new
-        if not count:
-            return flat, unit
-        s, u, o = np.concatenate(done_s), np.concatenate(done_u), np.concatenate(done_o)
-        order = np.argsort(u.astype(np.int64) * (1 << 32) + o, kind="stable")
-        return s[order], u[order]
-
-    def encode(self, texts: list[str], variants: np.ndarray, seed: int, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+            open_ = low < NEVER
+            live = np.repeat(open_, size)
+            if not open_.all():
+                end = np.flatnonzero(~live)
+                out[pos[end]], left[pos[end]] = s[end], True
+            at = np.flatnonzero(r == np.repeat(np.where(open_, low, -1), size))  # one in each open unit
+            s[at] = self.by_rank[low[open_] // step]
+            live[at + 1] = False
+            keep = np.flatnonzero(live)
+            s, pos, r = s[keep], pos[keep], r[keep]
+            was, size = first[open_], size[open_] - 1
+            first = np.cumsum(size) - size
+            at += first - was  # merged places after removal
+            r[at] = NEVER
+            near = np.r_[at[at > first] - 1, at[at + 1 < first + size]]
+            r[near] = offered(pos[near], self.merged(s[near], s[near + 1]))
+        return out[left], unit[left]
+
+    @staticmethod
+    def _spread(symbol: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The symbols of units, their unit numbers and their offsets."""
+        unit = np.repeat(np.arange(len(starts), dtype=np.int32), size)
+        offset = (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+        return symbol[np.repeat(starts, size) + offset], unit, offset
+
+    def encode(self, texts: list[str], docs: np.ndarray, seed: int, dropout: float) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, flat, and where each text's begin."""
         cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         lens = np.array([len(t) for t in texts], np.int64)
@@ -224,19 +244,47 @@ class Codec:
         size = np.diff(np.r_[starts, len(cp)])
         total = np.zeros(len(cp) + 1, U)
         np.cumsum(mix(cp.astype(U) + U(0x1F83D9AB)) * powers(len(cp)), out=total[1:])
-        name = mix(((total[starts + size] - total[starts]) * powers(len(cp) + 1, True)[starts]) ^ mix(variants[row[starts]].astype(U) + U(11)) ^ (size.astype(U) << U(48)))
+        name = mix(((total[starts + size] - total[starts]) * powers(len(cp) + 1, True)[starts]) ^ (size.astype(U) << U(48)))
         _, which, back = np.unique(name, return_index=True, return_inverse=True)
-        us, un = starts[which], size[which]
-        wide = un <= WIDE
-        order = np.r_[np.flatnonzero(wide), np.flatnonzero(~wide)]  # units merged together come first
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        k = int(wide.sum())
-        us, un = us[order], un[order]
-        var = variants[row[us]] if len(us) else np.zeros(0, np.int64)
-        offset = np.arange(un[:k].sum()) - np.repeat(np.cumsum(un[:k]) - un[:k], un[:k])
-        flat = symbol[np.repeat(us[:k], un[:k]) + offset] if k else np.zeros(0, np.int32)
-        ids, unit = self.together(flat, np.repeat(np.arange(k), un[:k]), offset, var, seed, dropout)
+        back = back.reshape(-1)
+        wide = size > WIDE
+        if dropout:  # wide units are hardly ever free of skipped merges: each occurrence runs by itself
+            alone = np.flatnonzero(wide)
+        else:
+            alone = which[wide[which]]
+        kinds = which[~wide[which]]
+        k = len(kinds)
+        # what is encoded: the kinds of narrow units without dropout, narrow occurrences with skipped merges, wide units
+        use = np.zeros(len(which), np.int64)
+        use[back[kinds]] = np.arange(k)
+        use = use[back]
+        flat, unit, offset = self._spread(symbol, starts[kinds], size[kinds])
+        pairs, seen = self.pairs(flat, unit), []
+        ids, unit = self.together(flat, unit, offset, np.zeros(k, np.int64), seed, 0.0, pairs=pairs, seen=seen if dropout else None)
+        us = starts[kinds]
+        if dropout:
+            doc, place = docs[row[starts]], starts - first[np.searchsorted(first, starts, "right") - 1]
+            cu, co, to = (np.concatenate(x) for x in zip(*seen))
+            order = np.argsort(cu, kind="stable")
+            co, to, many = co[order], to[order], np.bincount(cu, minlength=k)
+            narrow = np.flatnonzero(~wide)
+            each = many[use[narrow]]
+            at = np.repeat((np.cumsum(many) - many)[use[narrow]] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+            gone = self.skipped(np.repeat(place[narrow], each) + co[at], to[at], np.repeat(self.keyed(doc[narrow], seed), each), dropout)
+            own = narrow[np.unique(np.repeat(np.arange(len(narrow)), each)[gone])]
+            flat, mine, offset = self._spread(symbol, starts[own], size[own])
+            opened = (np.cumsum(size[kinds]) - size[kinds])[use[own]]
+            got, mine = self.together(flat, mine, offset, doc[own], seed, dropout, place[own], pairs[opened[mine] + offset])
+            use[own] = k + np.arange(len(own))
+            ids, unit, us = np.r_[ids, got], np.r_[unit, mine + k], np.r_[us, starts[own]]
+            k += len(own)
+            use[alone] = k + np.arange(len(alone))
+            extra = [np.array(self.agenda(symbol[a : a + n], int(d), seed, dropout, int(x)), np.int32) for a, n, d, x in zip(starts[alone], size[alone], doc[alone], place[alone])]
+        else:
+            moved = np.zeros(len(which), np.int64)
+            moved[back[alone]] = k + np.arange(len(alone))
+            use = np.where(wide, moved[back], use)
+            extra = [np.array(self.agenda(symbol[a : a + n], 0, seed, 0.0), np.int32) for a, n in zip(starts[alone], size[alone])]
         # a character without a piece is a unit of its own: its bytes follow
         lone = np.flatnonzero(ids < 0)
         count = np.bincount(unit, minlength=k) if k else np.zeros(0, np.int64)
@@ -244,13 +292,9 @@ class Codec:
             spelled = [self.byte[np.frombuffer(chr(c).encode("utf-8", "surrogatepass"), np.uint8)] for c in cp[us[unit[lone]]]]
             count[unit[lone]] = [len(x) for x in spelled]
             ids = np.concatenate([x for a, b, s in zip(np.r_[0, lone + 1], np.r_[lone, len(ids)], [*spelled, np.zeros(0, np.int32)]) for x in (ids[a:b], s)])
-        pieces = [ids]
-        extra = [np.array(self.agenda(symbol[a : a + n], int(v), seed, dropout), np.int32) for a, n, v in zip(us[k:], un[k:], var[k:])]
-        pieces += extra
-        ids = np.concatenate(pieces)
+        ids = np.concatenate([ids, *extra])
         count = np.r_[count, [len(x) for x in extra]].astype(np.int64)
         begins = np.cumsum(count) - count
-        use = place[back.reshape(-1)]
         got = count[use]
         out = ids[np.repeat(begins[use] - (np.cumsum(got) - got), got) + np.arange(got.sum())] if len(use) else np.zeros(0, np.int32)
         per = np.zeros(len(texts), np.int64)
@@ -271,19 +315,15 @@ def codec(model: bytes) -> Codec:
     return Codec(model)
 
 
-def variant_of(ids: np.ndarray, variants: int, seed: int) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(U) + U(seed % (1 << 32))) % U(variants)).astype(np.int64) if variants > 1 else np.zeros(len(ids), np.int64)
-
-
-def _run(batches: Iterator[pa.RecordBatch], model, seed: int, dropout: float, variants: int, check: bool):
+def _run(batches: Iterator[pa.RecordBatch], model, seed: int, dropout: float, check: bool):
     c = codec(model.value)
     for b in batches:
         ids, arr = b.column(0), text_column(b, "text")
-        key = variant_of(ids.fill_null(0).to_numpy(zero_copy_only=False), variants, seed)
+        docs = ids.fill_null(0).to_numpy(zero_copy_only=False)
         for lo, hi in row_slices(arr):
             part = arr.slice(lo, hi - lo)
             texts = part.to_pylist()
-            got, off = c.encode(texts, key[lo:hi], seed, dropout)
+            got, off = c.encode(texts, docs[lo:hi], seed, dropout)
             tokens = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(got))
             cols, names = [ids.slice(lo, hi - lo), tokens, pa.array(np.diff(off).astype(np.int32))], ["doc_id", "ids", "n_tokens"]
             if check:
@@ -297,11 +337,11 @@ def _shared(spark: SparkSession, model: bytes | None):
     return spark.sparkContext.broadcast(default_model() if model is None else model)
 
 
-def encode(docs: DataFrame, model: bytes | None = None, seed: int = 5, dropout: float = 0.1, variants: int = 8, check: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model: bytes | None = None, seed: int = 5, dropout: float = 0.1, check: bool = True) -> DataFrame:
     """Rows (doc_id, ids, n_tokens[, lossless]); lossless tells whether decoding the ids gave the text back."""
     shared = _shared(docs.sparkSession, model)
     schema = "doc_id long, ids array<int>, n_tokens int" + ", lossless boolean" * check
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda b: _run(b, shared, seed, dropout, variants, check), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda b: _run(b, shared, seed, dropout, check), schema)
 
 
 def decode(encoded: DataFrame, model: bytes | None = None) -> DataFrame:

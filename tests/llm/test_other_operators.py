@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -139,6 +140,33 @@ def test_pieces():
         assert together.tolist() == c.agenda(word, v, 5, 0.3)
 
 
+def test_each_occurrence_is_cut_by_itself():
+    c = sentencepiece_codec.Codec(sentencepiece_codec.default_model())
+    r = random.Random(6)
+    words = ["international", "the", "a", "understanding", "z" * 60, "réunion"]
+    texts = ["", "international " * 300] + [" ".join(r.choice(words) for _ in range(80)) for _ in range(6)]
+    docs = np.array([3, 3, 11, 19, 27, -5, 2**62, 11])
+    for dropout in (0.0, 0.1, 0.4):
+        ids, off = c.encode(texts, docs, 5, dropout)
+        assert c.decode(ids, off) == [t.encode() for t in texts]
+        cuts = set()
+        for k, t in enumerate(texts):  # every unit at its place through the agenda, none reused
+            want = []
+            for m in re.finditer(" +[^ ]*", " " + t if t else ""):
+                symbols = np.array([c.single[sentencepiece_codec.BLANK if x == " " else ord(x)] for x in m[0]], np.int32)
+                got = c.agenda(symbols, int(docs[k]), 5, dropout, m.start())
+                want += got
+                if k == 1 and m[0] == " international":
+                    cuts.add(tuple(got))
+            assert ids[off[k] : off[k + 1]].tolist() == want, (dropout, k)
+        assert len(cuts) == 1 if not dropout else len(cuts) > 8
+
+
+def test_documents_with_one_text_are_cut_differently(spark):
+    df = spark.createDataFrame([(k, "international understanding") for k in range(400)], "doc_id long, text string")
+    assert len({tuple(r["ids"]) for r in sentencepiece_codec.encode(df).collect()}) > 8
+
+
 def test_piece_queries(spark):
     rows = [(k, t) for k, t in enumerate(TEXTS)] + [(None, "x y"), (50, None), (50, None)]
     df = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, ids string")
