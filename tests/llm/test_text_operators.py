@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from carelake.llm import licenses, minhash, quality, substring, toxicity
+from carelake.llm import licenses, minhash, mixing, quality, sentencepiece_codec, substring, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, sig string, key long, __spans2 string"
@@ -247,3 +247,105 @@ def test_toxicity(spark):
     assert flags == sum(x["held_out"] for x in got)
     assert {x["score"] for x in toxicity.classify(make(spark, rows), labels.where("false")).collect()} == {0.0}
     assert toxicity.classify(make(spark, []), labels).collect() == []
+
+
+def brute_features(text):
+    t = text or ""
+    w = WORD.findall(t)
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    three, places = [tuple(w[k : k + 3]) for k in range(len(w) - 2)], {}
+    for k, x in enumerate(three):
+        places.setdefault(x, []).append(k)
+    repeat = len({k + j for at in places.values() if len(at) > 1 for k in at for j in range(3)})
+    chars = sum(map(len, w))
+    share = lambda a, b: a / b if b else 0.0
+    count = lambda of: sum(c in of for c in t)
+    upper = count("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    return [len(w), share(chars, len(w)), share(count("#*$%&|<>"), chars), share(len(lines) - len(set(lines)), len(lines)), share(repeat, len(w)), share(upper, chars), share(count("!?"), chars)], repeat
+
+
+def brute_quality(docs, labels):
+    import numpy as np
+
+    marks = {}
+    for i, q, _ in labels:
+        if i is not None and q is not None:
+            marks[i] = min(marks.get(i, q), q)
+    seen = {i: brute_features(t) for i, t, *_ in docs}
+    known = sorted((i, marks[i], *seen[i][0]) for i in seen if i in marks)
+    rules = quality.learn(np.array([r[2:] for r in known], float), np.array([r[1] == 0 for r in known]))
+    bad = lambda i: seen[i][0][0] < 50 or 100 * seen[i][1] > 50 * seen[i][0][0] or any(r.meets(np.array([seen[i][0]], float))[0] for r in rules)
+    return [d for d in docs if not bad(d[0])]
+
+
+def brute_near(docs):
+    sets = {d[0]: shingles(d[1], 5) for d in docs}
+    top = {i: i for i in sets}
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                top[y] = x
+    return [d for d in docs if find(d[0]) == d[0]]
+
+
+def brute_strip(docs):
+    first, out = {}, []
+    words = {d[0]: WORD.findall(d[1] or "") for d in docs}
+    for i in sorted(words):
+        for k in range(len(words[i]) - 49):
+            first.setdefault(tuple(words[i][k : k + 50]), i)
+    for i, t, *rest in docs:
+        w, gone = words[i], set()
+        for k in range(len(w) - 49):
+            if first[tuple(w[k : k + 50])] < i:
+                gone |= set(range(k, k + 50))
+        out.append((i, " ".join(x for k, x in enumerate(w) if k not in gone) if gone else t, *rest))
+    return out
+
+
+def brute_mixing(spark, docs):
+    """Of each leaf the prefix of its seeded order; the hash is taken from Spark, one row at a time."""
+    hashed = spark.createDataFrame([d[:2] for d in docs], "i long, t string").select("i", F.xxhash64("t").alias("t"))
+    place = {r["i"]: tuple(r) for r in hashed.select("i", F.xxhash64(F.lit(17), F.lit(0), "i", "t").alias("o"), "t").collect()}
+    n, leaves = {d[0]: len(WORD.findall(d[1] or "")) for d in docs}, {}
+    for d in docs:
+        number = re.search(r"\d{1,15}$", d[3] or "")
+        leaves.setdefault((("web", "books", "code")[int(number[0]) % 3] if number else "other", d[2], d[3]), []).append(d[0])
+    have = {k: float(sum(n[i] for i in v)) for k, v in leaves.items()}
+    have = {k: v for k, v in have.items() if v}
+    dealt = mixing.budgets(0.9 * sum(have.values()), have, lambda p: float(mixing.WEIGHTS.get(p, mixing.WEIGHTS.get(p[-1], 1.0))))
+    kept = set()
+    for leaf, budget in dealt.items():
+        before = 0
+        for i in sorted(leaves[leaf], key=lambda i: (place[i][1], i, place[i][2])):
+            if n[i] and before < budget:
+                kept.add(i)
+            before += n[i]
+    return [d for d in docs if d[0] in kept]
+
+
+def test_pipeline_keeps_what_brute_force_keeps(spark):
+    import corpus_pipeline as p
+
+    where = "/root/testdata/sf0.001"
+    docs = sorted(map(tuple, spark.read.parquet(f"{where}/documents.parquet").collect()))
+    labels = [tuple(r) for r in spark.read.parquet(f"{where}/labels.parquet").select("doc_id", "quality", "toxic").collect()]
+    table = spark.read.parquet(f"{where}/documents.parquet")
+    brute = {"quality_rules": lambda d: brute_quality(d, labels), "near_dedup": brute_near, "substring_dedup": brute_strip, "source_mixing": lambda d: brute_mixing(spark, d)}
+    for name, stage in p.STAGES[:-1]:
+        want = brute[name](docs)
+        assert want and want != docs, f"{name} has nothing to do"
+        table = p.written(stage(spark, table, where), name)
+        assert sorted(map(tuple, table.collect())) == want, name
+        docs = want
+    texts = {d[0]: d[1] for d in docs}
+    for out in (p.STAGES[-1][1](spark, table, where), p.run(spark, where)):
+        got = sentencepiece_codec.decode(out).collect()
+        assert len(got) == len(texts) and {r["doc_id"]: r["text"] for r in got} == texts
