@@ -306,6 +306,20 @@ def validate_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate(docs).groupBy("severity", "code").agg(F.count("*").alias("n"))
 
 
+@registered("validate_cardinality_encounters", """SELECT 'o' || o_orderkey AS id, CASE WHEN o_orderpriority = '1-URGENT' OR o_orderstatus IS NULL THEN 1 ELSE 0 END AS missing,
+  CASE WHEN o_orderpriority = '5-LOW' AND o_orderstatus IS NOT NULL THEN 1 ELSE 0 END AS repeated FROM orders""")
+def validate_cardinality_encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole encounters: the urgent ones without their status, those of low priority with it in an array, the others as they are."""
+    from .operators.validate import validate
+
+    docs = Star(spark, sf_dir).resource("Encounter").select("pid", F.col("fhir_id").alias("id"), "content")
+    priority, status = F.get_json_object("content", "$.priority.text"), '"status":("[^"]*")'
+    changed = F.when(priority == "1-URGENT", F.regexp_replace("content", f"{status},", "")).when(priority == "5-LOW", F.regexp_replace("content", status, r'"status":[$1]'))
+    found = validate(docs.withColumn("content", F.coalesce(changed, "content")))
+    counts = found.groupBy("pid").agg(F.count_if(F.col("code") == "required").cast("int").alias("m"), F.count_if((F.col("code") == "structure") & F.col("details").contains("repeat")).cast("int").alias("r"))
+    return docs.select("pid", "id").join(counts, "pid", "left").select("id", F.coalesce("m", F.lit(0)).alias("missing"), F.coalesce("r", F.lit(0)).alias("repeated"))
+
+
 @registered("extract_tokens", "SELECT 'e' || event_id AS id, 'urn:event' AS system, event_type AS value FROM events")
 def extract_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index rows of documents, by the extractor, against those of the source."""
