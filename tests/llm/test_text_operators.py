@@ -69,7 +69,7 @@ def test_large_group_of_near_copies_is_compared_in_blocks(spark):
     r = random.Random(5)
     base = [f"b{k}" for k in range(100)]
     rows = []
-    for k in range(700):
+    for k in range(1500):
         w = list(base)
         for _ in range(r.choice([3, 9, 12])):
             w[r.randrange(100)] = f"x{r.randrange(10**6)}"
@@ -105,6 +105,18 @@ def test_near_duplicates_odd_rows(spark):
     assert kept.columns == [c.split()[0] for c in DOCS.split(", ")] and kept.count() < len(corpus())
 
 
+def test_dedup_judges_rows_by_their_text(spark):
+    r = random.Random(9)
+    t, u = (" ".join(r.choice("abcdefgh") + str(r.randrange(40)) for _ in range(90)) for _ in range(2))
+    names = ["__gone", "keep", "node", "nid", "component_id"]
+    rows = [(i, x, *["z"] * 5) for i, x in [(1, t), (2, t), (2, u), (3, u + " end"), (4, None), (4, None), (None, t), (1, t)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = minhash.dedup(docs)
+    assert got.columns == docs.columns
+    want = [(1, t), (1, t), (2, u), (4, None), (4, None), (None, t)]
+    assert sorted((str(x["doc_id"]), str(x["text"])) for x in got.collect()) == sorted((str(a), str(b)) for a, b in want)
+
+
 def test_substrings(spark):
     rows = corpus()
     got = {}
