@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from ...errors import EngineError
 from .compile import Unsupported, compiled
-from .interp import evaluate, plain, text
-from .values import Node
+from ...registry import default
+from .interp import Context, evaluate, plain, text
+from .values import Node, named
 
 
 def interpreted(expression: str, content: Column) -> Column:
@@ -17,11 +18,13 @@ def interpreted(expression: str, content: Column) -> Column:
 
     @F.pandas_udf("array<string>")
     def run(docs: pd.Series) -> pd.Series:
+        registry = default()
+
         def one(doc):
             if doc is None:
                 return None
             try:
-                return [str(v.data) if isinstance(v, Node) else text(v) for v in map(plain, evaluate(expression, doc))]
+                return [str(v.data) if isinstance(v, Node) else text(v) for v in map(plain, evaluate(expression, doc, Context(registry, resolve=lambda ref: named(ref, registry))))]
             except (EngineError, ValueError, ArithmeticError):
                 return None
 

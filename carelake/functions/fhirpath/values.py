@@ -218,3 +218,19 @@ def root(doc: dict | str, registry: Registry) -> Node:
     if not isinstance(d, dict) or d.get("resourceType") not in registry.types:
         raise PathError("not a resource of a known type")
     return Node(d, d["resourceType"], (d["resourceType"], ""), registry)
+
+
+def split_reference(text: str) -> tuple[str, str, str]:
+    """Type, id and the reference as written; fragments keep no type, versions are dropped."""
+    if text.startswith("#"):
+        return "", text, text
+    parts = re.sub(r"/_history/[^/]*$", "", text).rstrip("/").split("/")
+    if len(parts) >= 2 and re.fullmatch(r"[A-Z]\w*", parts[-2]):
+        return parts[-2], parts[-1], text
+    return "", "", text
+
+
+def named(ref: str, registry: Registry) -> Node | None:
+    """Stands for what a reference names, of which only type and id are known; none of an unknown type."""
+    kind, id_, _ = split_reference(ref)
+    return Node({"resourceType": kind, "id": id_}, kind, (kind, ""), registry) if kind in registry.types else None

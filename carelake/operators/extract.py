@@ -1,9 +1,14 @@
-"""Documents to index rows: one Arrow pass evaluates every search parameter, then each table is a projection of it."""
+"""Documents to index rows, of which each index table is a projection.
+
+Parameters that are plain paths become columns (extract_columns); the interpreter
+evaluates the others, and finds the texts for full-text search, in one Arrow pass.
+"""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,11 +16,12 @@ from pyspark.sql import functions as F
 
 from ..errors import EngineError
 from ..functions.fhirpath import Context, evaluate
-from ..functions.fhirpath.values import Dec, Node, Temporal, parse_json, root
+from ..functions.fhirpath.values import Dec, Node, Temporal, named, root, split_reference
 from ..functions.folding import fold
 from ..plans.ranges import date_bounds, number_bounds
 from ..registry import QUANTITIES, Param, Registry, default
 from ..schemas import FIRST, LAST
+from .extract_columns import ROW, compiled
 from .lower import Stored
 
 #: A wide row: table, code, seq and up to three texts, two whole and two real numbers.
@@ -26,46 +32,35 @@ TAGS = re.compile(r"<[^>]*>")
 MAX_DEPTH = 40
 
 
-def split_reference(text: str) -> tuple[str, str, str]:
-    """Type, id and the reference as written; fragments keep no type, versions are dropped."""
-    if text.startswith("#"):
-        return "", text, text
-    parts = re.sub(r"/_history/[^/]*$", "", text).rstrip("/").split("/")
-    if len(parts) >= 2 and re.fullmatch(r"[A-Z]\w*", parts[-2]):
-        return parts[-2], parts[-1], text
-    return "", "", text
-
-
-class _Target:
-    """Stands for what a reference names, of which only the type is known."""
-
-
 class Extractor:
     def __init__(self, registry: Registry | None = None):
         self.registry = registry or default()
 
     def resolve(self, ref: str) -> Node | None:
-        kind, id_, _ = split_reference(ref)
-        return Node({"resourceType": kind, "id": id_}, kind, (kind, ""), self.registry) if kind in self.registry.types else None
+        return named(ref, self.registry)
+
+    def rows(self, content: str, params: list[Param] | None = None) -> Iterator[tuple]:
+        """(table, code, seq, a, b, c, low, high, x, y) of a document for params, or all of its type's.
 
-    def rows(self, content: str) -> Iterator[tuple]:
-        """(table, code, seq, a, b, c, low, high, x, y) of a document; a parameter that fails gives none."""
+        A parameter whose expression fails gives no rows, nor does a value that can't be read.
+        """
         node = root(content, self.registry)
-        for p in self.registry.params_of(node.type):
+        for p in self.registry.params_of(node.type) if params is None else params:
             if not p.expression:
                 continue
             try:
                 found = evaluate(p.expression, node, Context(self.registry, resolve=self.resolve))
+                inner = [(p, x, 0) for x in found]
                 if p.kind == "composite":
-                    for seq, x in enumerate(found):
-                        for k, (_, kind, inner) in enumerate(p.components):
-                            for y in evaluate(inner, [x], Context(self.registry, resolve=self.resolve, resource=[node])):
-                                yield from self.values(Param(f"{p.code}${k}", kind, p.base), y, seq)
-                else:
-                    for x in found:
-                        yield from self.values(p, x, 0)
+                    here = lambda: Context(self.registry, resolve=self.resolve, resource=[node])
+                    inner = [(Param(f"{p.code}${k}", kind, p.base), y, seq) for seq, x in enumerate(found) for k, (_, kind, path) in enumerate(p.components) for y in evaluate(path, [x], here())]
             except (EngineError, ArithmeticError, ValueError, TypeError, AttributeError):
                 continue
+            for q, x, seq in inner:
+                try:
+                    yield from list(self.values(q, x, seq))
+                except (EngineError, ArithmeticError, ValueError, TypeError, AttributeError):
+                    continue
 
     def values(self, p: Param, v, seq: int) -> Iterator[tuple]:
         t = v.type if isinstance(v, Node) else ""
@@ -121,7 +116,10 @@ class Extractor:
                 yield row("date", low=low, high=high)
             elif t == "Timing" and isinstance(d, dict):
                 for e in d.get("event") or []:
-                    low, high = date_bounds(e)
+                    try:
+                        low, high = date_bounds(e)
+                    except (TypeError, ValueError):
+                        continue
                     yield row("date", low=low, high=high)
             elif written:
                 low, high = date_bounds(str(v) if isinstance(v, Temporal) else written)
@@ -153,23 +151,45 @@ class Extractor:
         return TAGS.sub(" ", narrative.get("div") or "") if isinstance(narrative, dict) else "", " ".join(out)
 
 
-def wide_rows(resources: DataFrame) -> DataFrame:
-    """WIDE rows of live resources (pid, resource_type, content)."""
-
-    def run(batches):
-        x = Extractor()
-        for b in batches:
-            rows: list[tuple] = []
-            for pid, kind, content in zip(*(c.to_pylist() for c in b.columns)):
-                try:
-                    rows += [(pid, kind, *r) for r in x.rows(content)]
-                    n, c = x.fulltext(content)
-                    rows.append((pid, kind, "fulltext", "", 0, n, c, "", None, None, None, None))
-                except (EngineError, ValueError):
-                    continue
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows) if rows else [[]] * len(_TYPES), _TYPES)], list(_FIELDS))
-
-    return resources.where("not deleted and content is not null").select("pid", "resource_type", "content").mapInArrow(run, WIDE)
+def wide_rows(resources: DataFrame, types: list[str] | None = None, codes: list[str] | None = None, text: bool = True, registry: Registry | None = None) -> DataFrame:
+    """WIDE rows of live resources (pid, resource_type, content).
+
+    types are the resource types that occur: their parameters' plain paths become
+    columns; without it the interpreter does everything. Only the parameters of
+    codes (all by default) are evaluated, and texts only if asked for.
+    """
+    registry = registry or default()
+    live = resources.where("not deleted and content is not null").select("pid", "resource_type", "content")
+    wanted = {t: [p for p in registry.params_of(t) if p.expression and (codes is None or p.code in codes)] for t in types or ()}
+    native = F.lit(None).cast(ROW)
+    for t, params in wanted.items():
+        taken, rows = compiled(t, params, registry)
+        if taken:
+            native = F.when(F.col("resource_type") == t, rows(F.col("content"))).otherwise(native)
+            wanted[t] = [p for p in params if p not in taken]
+    out = []
+    if types:
+        d = live.select("pid", "resource_type", F.explode(native).alias("r"))
+        out.append(d.select("pid", "resource_type", "r.*"))
+    if types is None or text or any(wanted.values()):
+
+        def run(batches):
+            x = Extractor(registry)
+            for b in batches:
+                found: list[tuple] = []
+                for pid, kind, content in zip(*(c.to_pylist() for c in b.columns)):
+                    try:
+                        left = wanted.get(kind) if types else None if codes is None else [p for p in registry.params_of(kind) if p.code in codes]
+                        found += [(pid, kind, *r) for r in x.rows(content, left)]
+                        if text:
+                            n, c = x.fulltext(content)
+                            found.append((pid, kind, "fulltext", "", 0, n, c, "", None, None, None, None))
+                    except (EngineError, ValueError):
+                        continue
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*found) if found else [[]] * len(_TYPES), _TYPES)], list(_FIELDS))
+
+        out.append(live.mapInArrow(run, WIDE))
+    return reduce(DataFrame.unionByName, out)
 
 
 def indexes(wide: DataFrame) -> dict[str, DataFrame]:
@@ -188,7 +208,3 @@ def indexes(wide: DataFrame) -> dict[str, DataFrame]:
 
 def stored(resources: DataFrame, wide: DataFrame) -> Stored:
     return Stored({"resource": resources, **indexes(wide)})
-
-
-def parsed(content: str) -> dict:
-    return parse_json(content)

@@ -320,23 +320,44 @@ def validate_cardinality_encounters(spark: SparkSession, sf_dir: str) -> DataFra
     return docs.select("pid", "id").join(counts, "pid", "left").select("id", F.coalesce("m", F.lit(0)).alias("missing"), F.coalesce("r", F.lit(0)).alias("repeated"))
 
 
-@registered("extract_tokens", "SELECT 'e' || event_id AS id, 'urn:event' AS system, event_type AS value FROM events")
-def extract_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index rows of documents, by the extractor, against those of the source."""
-    from .operators.extract import indexes, wide_rows
+def _extracted(name: str, type_: str, code: str, table: str, sql: str, *columns: str) -> None:
+    """The index rows of a type's documents, by the extractor, against those of the source."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        from .operators.extract import indexes, wide_rows
 
-    docs = Star(spark, sf_dir).resource("Observation")
-    rows = indexes(wide_rows(docs))["token"].where("code = 'code'")
-    return rows.join(docs.select("pid", F.col("fhir_id").alias("id")), "pid").select("id", "system", "value")
+        docs = Star(spark, d).resource(type_)
+        rows = indexes(wide_rows(docs, [type_], [code.partition("$")[0]], text=False))[table].where(F.col("code") == code)
+        rounded = [F.round(c, 6).alias(c) if dict(rows.dtypes)[c] == "double" else F.col(c) for c in columns]
+        return rows.join(docs.select("pid", F.col("fhir_id").alias("id")), "pid").select("id", *rounded)
+
+    QUERIES[name] = run
+    ORACLES[name] = sql
 
 
-@registered("extract_quantities", f"SELECT 'e' || event_id AS id, round({_LOW}, 6) AS low, round({_HIGH}, 6) AS high FROM events")
-def extract_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
+_extracted("extract_tokens", "Observation", "code", "token", "SELECT 'e' || event_id AS id, 'urn:event' AS system, event_type AS value FROM events", "system", "value")
+_extracted("extract_quantities", "Observation", "value-quantity", "quantity", f"SELECT 'e' || event_id AS id, round({_LOW}, 6) AS low, round({_HIGH}, 6) AS high FROM events", "low", "high")
+_extracted("extract_strings", "Patient", "family", "string", "SELECT 'c' || c_custkey AS id, lower(c_name) AS norm, c_name AS exact FROM customer", "norm", "exact")
+_extracted("extract_references", "Encounter", "subject", "reference", "SELECT 'o' || o_orderkey AS id, 'Patient' AS target_type, 'c' || o_custkey AS target_id, 'Patient/c' || o_custkey AS url FROM orders", "target_type", "target_id", "url")
+_extracted("extract_resolved_references", "Observation", "patient", "reference", "SELECT 'e' || event_id AS id, 'Patient' AS target_type, 'c' || user_id AS target_id FROM events", "target_type", "target_id")
+_extracted("extract_identifiers", "Patient", "identifier", "token", "SELECT 'c' || c_custkey AS id, 'urn:mrn' AS system, CAST(c_custkey AS VARCHAR) AS value FROM customer", "system", "value")
+_extracted("extract_uris", "ValueSet", "url", "uri", "SELECT 'w' || page_id AS id, url AS value FROM pages WHERE url <> ''", "value")
+_extracted("extract_instants", "Observation", "date", "date", f"SELECT 'e' || event_id AS id, CAST({_TS} AS BIGINT) AS low, CAST({_TS} + 999 AS BIGINT) AS high FROM events", "low", "high")
+_extracted("extract_open_periods", "Encounter", "date", "date", "SELECT 'o' || o_orderkey AS id, epoch_us(date_trunc('day', o_orderdate)) AS low, 9223372036854775807 AS high FROM orders", "low", "high")
+_extracted("extract_numbers", "Medication", "size", "number", "SELECT 'p' || p_partkey AS id, p_size - 0.5 AS low, p_size + 0.5 AS high FROM part", "low", "high")
+_extracted("extract_composite_tokens", "Observation", "component-code-value-quantity$0", "token", "SELECT 'e' || event_id AS id, 0 AS seq, event_type AS value FROM events UNION ALL SELECT 'e' || event_id, 1, 'k' FROM events", "seq", "value")
+_extracted("extract_composite_quantities", "Observation", "component-code-value-quantity$1", "quantity", """SELECT 'e' || event_id AS id, 0 AS seq, round(CAST(value AS DECIMAL(20,2)) - 0.005, 6)::DOUBLE AS low FROM events
+  UNION ALL SELECT 'e' || event_id, 1, round(CAST(json_extract(props, '$.k') AS DECIMAL(20,2)) - 0.005, 6)::DOUBLE FROM events""", "seq", "low")
+
+
+@registered("extract_fulltext", r"SELECT 'm' || conv_id || '-' || turn AS id, len(list_filter(list_distinct(regexp_split_to_array(lower('m' || conv_id || '-' || turn || ' completed urn:role ' || role || ' ' || role || ' ' || regexp_replace(text, '<[^>]*>', ' ', 'g')), '[^\p{L}\p{N}]+')), lambda w: w <> '')) AS words FROM conversations")
+def extract_fulltext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many different words each message's document has in all its strings."""
     from .operators.extract import indexes, wide_rows
 
-    docs = Star(spark, sf_dir).resource("Observation")
-    rows = indexes(wide_rows(docs))["quantity"].where("code = 'value-quantity'")
-    return rows.join(docs.select("pid", F.col("fhir_id").alias("id")), "pid").select("id", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+    docs = Star(spark, sf_dir).resource("Communication")
+    found = indexes(wide_rows(docs, ["Communication"], []))["fulltext"]
+    return found.join(docs.select("pid", F.col("fhir_id").alias("id")), "pid").select("id", F.size("content").cast("long").alias("words"))
 
 
 @registered("elements_subset", "SELECT 'c' || c_custkey AS id, 'resourceType,id,meta,name' AS kept FROM customer ORDER BY c_custkey LIMIT 5")

@@ -124,6 +124,7 @@ DATATYPES = {
     "Reference": "reference string 0..1 *\ntype uri 0..1 *\nidentifier Identifier 0..1 *\ndisplay string 0..1 *",
     "Attachment": "contentType code 0..1 *\nlanguage code 0..1 *\ndata base64Binary 0..1\nurl url 0..1 *\nsize unsignedInt 0..1 *\nhash base64Binary 0..1 *\ntitle string 0..1 *\ncreation dateTime 0..1 *",
     "Annotation": "author[x] Reference|string 0..1 *\ntime dateTime 0..1 *\ntext markdown 1..1 *",
+    "TypeInfo": "namespace string 1..1\nname string 1..1",
     "Age": "", "Count": "", "Distance": "", "Duration": "", "SimpleQuantity": "", "MoneyQuantity": "",
 }
 QUANTITIES = ("Quantity", "Age", "Count", "Distance", "Duration", "SimpleQuantity", "MoneyQuantity")
