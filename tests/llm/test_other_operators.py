@@ -86,6 +86,40 @@ def test_neighbours(spark):
     assert [(x["rank"], x["query_id"]) for x in sorted(few)] == [(1, 0), (2, 0)]
 
 
+def test_verified_share_falls_with_rows_and_recall_holds(spark):
+    shares = []
+    for n in (1000, 8000):
+        v = np.random.default_rng(n).standard_normal((n, 24)) * np.where(np.arange(n) % 10 == 0, 8.0, 1.0)[:, None]  # two bands of norms
+        df = spark.createDataFrame([(k, x.tolist(), 0, 0) for k, x in enumerate(v)], "vec_id long, embedding array<float>, row int, band int")
+        got = {}
+        for x in ann.search(df, F.col("id") % 50 == 0, k=20).collect():
+            got.setdefault(x["query_id"], (set(), x["n_verified"]))[0].add(x["vec_id"])
+        v = v.astype(np.float32).astype(float)
+        hit = 0
+        for q, (found, _) in got.items():
+            s = v @ v[q]
+            s[q] = -np.inf
+            hit += len(found & set(np.argsort(-s)[:20].tolist()))
+        assert len(got) == n // 50 and hit / (20 * len(got)) >= 0.9
+        shares.append(np.mean([seen for _, seen in got.values()]) / n)
+    assert shares[1] < shares[0] < 0.8, shares
+
+
+def test_block_search_matches_a_plain_one():
+    r = np.random.default_rng(4)
+    v, q = r.standard_normal((900, 12)), r.standard_normal((40, 12))
+    v[200:260] = v[200]  # ties
+    ids = r.permutation(900)
+    plane = r.standard_normal((12, 8))
+    top = float((v * v).sum(axis=1).max())
+    i, s, seen = ann.search_block(v, ids, np.arange(900), v @ plane, top, q, np.full(40, -1), q @ plane, np.full(40, -np.inf), 15, 1e9)
+    for k in range(40):
+        want = (q[k] * v).sum(axis=1)
+        best = np.lexsort((ids, -want))[:15]
+        assert i[k].tolist() == ids[best].tolist() and np.array_equal(s[k], want[best])
+    assert (seen == 900).all()
+
+
 def test_chi_square():
     assert abs(ann.chi_square_quantile(0.95, 8) - 15.507) < 1e-2 and abs(ann.chi_square_quantile(0.95, 5) - 11.070) < 1e-2
 
