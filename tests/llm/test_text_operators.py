@@ -143,6 +143,43 @@ def test_substrings(spark):
     assert out.where("doc_id = 1000").first()["text"] is None
 
 
+def test_strip_keeps_columns_of_any_name(spark):
+    names = ["__key", "__spans", "__id", "__name", "__of", "keep", "key", "name", "spans", "a b", "none"]
+    rows = [r for r in corpus() if r[0] is not None]
+    docs = spark.createDataFrame([(i, *[f"{n}{i}" for n in names], t) for i, t in rows], "doc_id long, " + ", ".join(f"`{n}` string" for n in names) + ", text string")
+    plain = {}
+    for r in substring.strip(make(spark, rows)).collect():
+        plain.setdefault(r["doc_id"], []).append(str(r["text"]))
+    out = substring.strip(docs)
+    assert out.schema.simpleString() == docs.schema.simpleString()
+    got = {}
+    for r in out.collect():
+        assert all(r[n] == f"{n}{r['doc_id']}" for n in names)
+        got.setdefault(r["doc_id"], []).append(str(r["text"]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in plain.items()}
+    assert any("".join(v) != "".join(str(t) for j, t in rows if j == i) for i, v in got.items())
+
+
+def test_substrings_over_many_ranges_and_a_common_passage(spark, monkeypatch):
+    monkeypatch.setattr(substring, "RANGE", 200)
+    monkeypatch.setattr(substring, "PACK", 500)
+    monkeypatch.setattr(substring, "HOT", 3)
+    r = random.Random(8)
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(k, " ".join(r.choice("abcdefghij") * r.randrange(1, 9) for _ in range(r.randrange(0, 90))) + (f" {passage} tail{k}" if k % 3 else "")) for k in range(120)]
+    got = {x["doc_id"]: (x["n_removed"], x["kept_sha256"]) for x in substring.digest(make(spark, rows), 50).collect()}
+    first, want = {}, {}
+    for i, t in rows:
+        w = t.encode().split()
+        for k in range(len(w) - 49):
+            first.setdefault(tuple(w[k : k + 50]), i)
+    for i, t in rows:
+        w = t.encode().split()
+        gone = {k + j for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < i for j in range(50)}
+        want[i] = (len(gone), hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in gone)).hexdigest())
+    assert got == want
+
+
 def test_quality_statistics_and_rules(spark):
     rows = corpus() + [(3000 + k, "bad $$$ " * 60 + f"t{k}") for k in range(40)] + [(4000, "a\nb\n\na\nb \na"), (4001, "x y z x y z x y")]
     labels = spark.createDataFrame([(i, int(i < 3000), 0) for i, _ in rows if i is not None], "doc_id long, quality int, toxic int")
@@ -232,13 +269,50 @@ def test_license_wordings_without_other_keywords(spark):
     want = {
         "Apache License v2.0": "apache-2.0", "GNU General Public License v3": "gpl-3", "Mozilla Public License v2.0": "mpl-2.0", "Eclipse Public License v2.0": "epl-2.0",
         "provided as is, with all faults": "as-is-disclaimer", "The author disclaims copyright to this source code.": "blessing", "Unauthorized copying of this file": "proprietary",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy": "mit", "Permission to use, copy, modify, and/or distribute this software for any purpose": "isc",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy": "mit", "Permission to use, copy, modify, and/or distribute this software for any purpose": "isc", "Creative Commons Attribution-ShareAlike 4.0": "cc-by-sa-4.0", "the curl license": "curl",
     }
     got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan(make(spark, list(enumerate(want))), "doc_id").collect()}
     for k, (text, label) in enumerate(want.items()):
         assert label in got[k], text
 
 
+def plain_licenses(text):
+    """Labels, score and hits by the same rules without gates, in plain Python."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    norm = f" {' '.join(w)} "
+    hits = [(m.start(), m.end(), r.priority, r.label, r.confidence) for r in licenses.signatures() for m in re.finditer(f"(?<= )(?:{r.pattern})(?= )", norm, re.A)]
+    outer = lambda g, h: g[0] <= h[0] and g[1] >= h[1] and (g[1] - g[0] > h[1] - h[0] and g[2] >= h[2] or g[2] > h[2])
+    left = [h for h in hits if not any(outer(g, h) for g in hits)]
+    base = brute_licenses(text)[4]
+    labels = {h[3] for h in left} | set(filter(None, base.split(",")))
+    return ",".join(sorted(labels)), max([h[4] for h in left] + [0.8 if base else 0.0]), sorted((h[3], h[0], h[1]) for h in left)
+
+
+def test_licenses_as_in_plain_python(spark):
+    r = random.Random(12)
+    forms = []
+    for s in licenses.signatures():
+        forms += spelled(re._parser.parse(s.pattern))[:6]
+    bits = [*forms, "and", "some other words", "license", "gnu", "the", "Copyright (c) 2020, 2021", "MIT", "cc-by", "2.0"]
+    texts = [", ".join(r.choice(bits) for _ in range(r.randrange(0, 14))) for _ in range(250)] + forms[::9] + [" ".join(["gnu lesser general public license v3"] * 300)]
+    got = {x["doc_id"]: x for x in licenses.scan(make(spark, list(enumerate(texts))), "doc_id").collect()}
+    for k, t in enumerate(texts):
+        labels, score, hits = plain_licenses(t)
+        assert (got[k]["labels"], got[k]["score"]) == (labels, score), t
+        assert sorted(map(tuple, got[k]["hits"])) == hits, t
+
+
+def test_license_scan_of_a_text_full_of_hits(spark):
+    import time
+
+    rows = [(1, "mit license " * 10_000), (2, "the mit license")]
+    licenses.scan(make(spark, rows[1:]), "doc_id").collect()
+    began = time.time()
+    got = licenses.scan(make(spark, rows), "doc_id").collect()
+    assert {x["doc_id"]: (x["n_words"], x["n_base"], x["last_word"], x["labels"]) for x in got} == {1: (20_000, 10_000, 19_998, "mit"), 2: (3, 1, 1, "mit")}
+    assert time.time() - began < 20
+
+
 def test_toxicity(spark):
     r = random.Random(2)
     words = [f"t{k}" for k in range(200)]
