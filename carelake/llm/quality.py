@@ -1,15 +1,16 @@
 """Quality rules: document statistics as native expressions and a learned decision list over them.
 
 The list is learned by sequential covering: a rule is grown, one threshold
-condition at a time, by information gain on two thirds of the labelled rows, and
-pruned on the rest; rules that stay precise become, in order, the branches of one
+condition at a time, by information gain on two thirds of the labelled rows that
+pass the base rules, and pruned on the rest, any condition in turn; bounds on one
+feature become one; rules that stay precise become, in order, the branches of one
 conditional expression that names the first rule a document meets. Learning reads
 a bounded sample of labelled documents (max_labels, the smallest by a hash of
 doc_id); statistics and verdicts cover every document.
 
 Cases: null text counts as empty (no words, base_failed); a null doc_id is judged
 like any other; repeated rows are each judged; conflicting labels of a doc_id
-count as the lower one; without labels, or with one class only, the list is empty
+count as the lower one, and of its texts one, by a hash, is learned from; without labels, or with one class only, the list is empty
 and the base rules alone decide; an empty table gives an empty result; other
 columns are never read.
 """
@@ -129,6 +130,27 @@ def _grow(x: np.ndarray, bad: np.ndarray, most: int) -> Rule:
     return Rule(tuple(conditions))
 
 
+def _worth(rule: Rule, x: np.ndarray, bad: np.ndarray) -> float:
+    met = rule.meets(x)
+    p, n = int(bad[met].sum()), int((~bad[met]).sum())
+    return (p - n) / (p + n) if p + n else -1.0
+
+
+def _prune(rule: Rule, x: np.ndarray, bad: np.ndarray) -> Rule:
+    """Drops the condition whose loss does most good, or no harm, as long as there is one; then joins bounds on a feature."""
+    worth = _worth(rule, x, bad)
+    while len(rule.conditions) > 1:
+        shorter = [Rule(rule.conditions[:k] + rule.conditions[k + 1 :]) for k in range(len(rule.conditions))]
+        best = max(shorter, key=lambda r: _worth(r, x, bad))
+        if _worth(best, x, bad) < worth:
+            break
+        rule, worth = best, _worth(best, x, bad)
+    bounds: dict[tuple[str, bool], float] = {}
+    for f, above, t in rule.conditions:
+        bounds[f, above] = t if (f, above) not in bounds else (max if above else min)(t, bounds[f, above])
+    return Rule(tuple((f, above, t) for (f, above), t in bounds.items()))
+
+
 def learn(x: np.ndarray, bad: np.ndarray, most_rules: int = 12, most_conditions: int = 4, precision: float = PRECISION) -> list[Rule]:
     """An ordered decision list from rows of FEATURES and their low-quality marks."""
     rules: list[Rule] = []
@@ -137,14 +159,7 @@ def learn(x: np.ndarray, bad: np.ndarray, most_rules: int = 12, most_conditions:
     least = max(3, int(0.002 * len(x)))
     while len(rules) < most_rules and bad[left].sum() >= least:
         rule = _grow(x[left & ~third], bad[left & ~third], most_conditions)
-        best, at = -2.0, rule
-        for k in range(1, len(rule.conditions) + 1):
-            part = Rule(rule.conditions[:k])
-            met = part.meets(x[left & third])
-            p, n = int(bad[left & third][met].sum()), int((~bad[left & third][met]).sum())
-            worth = (p - n) / (p + n) if p + n else -1.0
-            if worth > best:
-                best, at = worth, part
+        at = _prune(rule, x[left & third], bad[left & third])
         met = at.meets(x) & left if at.conditions else np.zeros(len(x), bool)
         if met.sum() < least or bad[met].mean() < precision:
             break
@@ -155,15 +170,21 @@ def learn(x: np.ndarray, bad: np.ndarray, most_rules: int = 12, most_conditions:
 
 def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> list[Rule]:
     """The decision list for docs (doc_id, text) from labels (doc_id, quality)."""
-    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.min("quality").alias("__quality"))
-    known = known.orderBy(F.xxhash64("__id"), "__id").limit(max_labels)
-    got = docs.join(F.broadcast(known), docs["doc_id"].cast("long") == F.col("__id")).select("__id", "__quality", "text")  # max_labels rows at most
-    rows = statistics(got, "__id", "__quality").select("__id", "__quality", *FEATURES).limit(2 * max_labels).collect()
-    rows.sort(key=tuple)
-    x = np.array([[float(v) for v in r[2:]] for r in rows]).reshape(len(rows), len(FEATURES))
+    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("quality"))
+    known = known.orderBy(F.xxhash64("id"), "id").limit(max_labels)
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    got = texts.join(F.broadcast(known), "id").groupBy("id").agg(F.min("quality").alias("quality"), F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))  # max_labels rows at most
+    rows = statistics(got, "id", "quality").select("id", "quality", failed().alias("failed"), *FEATURES).collect()
+    rows = sorted(tuple(r) for r in rows if not r["failed"])  # here, as a filter would be pushed into the statistics and multiply them
+    x = np.array([[float(v) for v in r[3:]] for r in rows]).reshape(len(rows), len(FEATURES))
     return learn(x, np.array([r[1] == 0 for r in rows], bool))
 
 
+def failed() -> Column:
+    """The base rules, over statistics()."""
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def verdict(rules: list[Rule]) -> Column:
     """The first rule that a row of statistics() meets, as text; null if none."""
     if not rules:
@@ -176,8 +197,7 @@ def verdict(rules: list[Rule]) -> Column:
 
 def _judged(docs: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
     rules = fit(docs, labels)
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    d = _statistics(docs, *columns).withColumns({"base_failed": failed, "rule": verdict(rules)})
+    d = _statistics(docs, *columns).withColumns({"base_failed": failed(), "rule": verdict(rules)})
     return d.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 

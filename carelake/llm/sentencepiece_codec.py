@@ -40,6 +40,7 @@ BLANK = 0x2581
 #: Longest unit that is merged side by side with others.
 WIDE = 48
 NEVER = np.int32(1 << 30)
+_ALL = (1 << 64) - 1
 
 
 def read_model(path: str) -> bytes:
@@ -54,6 +55,14 @@ def default_model() -> bytes:
     return read_model(public_tokenizers.path(MODEL))
 
 
+def _skips(place: int, piece: int, key: int, dropout: float) -> bool:
+    """Codec.skipped for one merge, in plain integers."""
+    x = (place << 32) ^ piece ^ key
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _ALL
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _ALL
+    return ((x ^ (x >> 31)) >> 11) * 2.0**-53 < dropout
+
+
 class Codec:
     """A BPE model with byte fallback as arrays."""
 
@@ -85,7 +94,8 @@ class Codec:
                 a, b = self.of.get(p[:k]), self.of.get(p[k:])
                 if a is not None and b is not None:
                     left.append(a), right.append(b), to.append(i)
-        # an open table of pairs
+        self.pair, self.ranks = dict(zip(zip(left, right), to)), self.rank.tolist()
+        # the same as an open table of pairs
         key = np.array(left, np.int64) * n + np.array(right, np.int64)
         self.size = 1 << (max(len(key), 1) * 4 - 1).bit_length()
         self.keys, self.to, self.n = np.full(self.size, -1, np.int64), np.full(self.size, -1, np.int32), n
@@ -134,31 +144,30 @@ class Codec:
     def agenda(self, symbols: np.ndarray, doc: int, seed: int, dropout: float, place: int = 0) -> list[int]:
         """One unit that begins at a place in the text through a priority queue of candidate merges; the positions left over hold the pieces."""
         key = self.keyed(np.array([doc]), seed)
-        s, n = [int(x) for x in symbols], len(symbols)
+        s, n, pair, rank = symbols.tolist(), len(symbols), self.pair, self.ranks
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue: list[tuple[int, int, int, int, int]] = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < n and s[i] >= 0 and s[j] >= 0:
-                p = int(self.merged(np.array([s[i]]), np.array([s[j]]))[0])
-                if p >= 0 and not (dropout and self.skipped(np.array([place + i]), np.array([p]), key, dropout)[0]):
-                    heapq.heappush(queue, (int(self.rank[p]), i, s[i], s[j], p))
-
-        for i in range(n - 1):
-            offer(i)
+        first = self.pairs(np.asarray(symbols), np.zeros(n, np.int32)) if n else np.zeros(0, np.int32)
+        at = np.flatnonzero(first >= 0)
+        if dropout:
+            at = at[~self.skipped(place + at, first[at], key, dropout)]
+        queue = [(rank[p], i, s[i], s[i + 1], p) for i, p in zip(at.tolist(), first[at].tolist())]
+        heapq.heapify(queue)
+        one, push, pop = int(key[0]), heapq.heappush, heapq.heappop
         gone = [False] * n
         while queue:
-            _, i, a, b, p = heapq.heappop(queue)
+            _, i, a, b, p = pop(queue)
             j = after[i]
             if gone[i] or j >= n or s[i] != a or s[j] != b:
                 continue
             s[i], gone[j], after[i] = p, True, after[j]
             if after[i] < n:
                 before[after[i]] = i
-            if before[i] >= 0:
-                offer(before[i])
-            offer(i)
+            for x in (before[i], i):
+                y = after[x] if x >= 0 else n
+                if y < n:
+                    q = pair.get((s[x], s[y]))
+                    if q is not None and not (dropout and _skips(place + x, q, one, dropout)):
+                        push(queue, (rank[q], x, s[x], s[y], q))
         return [x for x, g in zip(s, gone) if not g]
 
     def pairs(self, s: np.ndarray, u: np.ndarray) -> np.ndarray:

@@ -7,11 +7,13 @@ to second-person words, shares of capitals and punctuation, and rates of
 obfuscated words (those that only match once stand-ins are read as letters).
 
 Learning reads a bounded sample of labelled documents (max_labels, the smallest
-by a hash of doc_id); two thirds of it grow the trees, the rest calibrates them.
-Scores cover every document.
+by a hash of doc_id); two thirds of it give the lexicon and grow the trees, the
+rest, of which neither has seen anything, calibrates them. Scores cover every
+document.
 
 Cases: null and empty texts get the score of a text without words; a null doc_id
-is scored like any other; conflicting labels of a doc_id count as the higher one;
+is scored like any other; conflicting labels of a doc_id count as the higher one,
+and of its texts one, by a hash, is learned from;
 without labels of both classes every score is the mean label, or 0; repeated rows
 are each scored; an empty table gives an empty result; columns other than doc_id
 and text are never read.
@@ -233,11 +235,13 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _of_sample(docs: DataFrame, labels: DataFrame, max_labels: int, learn_from: Column) -> DataFrame:
-    """doc_id, toxic, text of the sample."""
+    """doc_id, toxic, aside (whether it is for calibration) and text of the sample, one row for each doc_id."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.where(learn_from).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(known), "doc_id").select("doc_id", "toxic", "text")  # max_labels rows at most
+    found = texts.join(F.broadcast(known), "doc_id")  # max_labels rows at most
+    one = found.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
+    return one.select("doc_id", "toxic", (F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(3)) == 2).alias("aside"), "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, max_labels: int = MAX_LABELS) -> Model:
@@ -245,7 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, ma
 
     def seen(batches):
         for b in batches:
-            arr, y = text_column(b, "text"), b.column(1).to_numpy()
+            arr, y = text_column(b, "text"), b.column(1).to_numpy().astype(np.int64)
             for lo, hi in row_slices(arr):
                 w, _ = _tokens(arr.slice(lo, hi - lo))
                 row = np.repeat(np.arange(hi - lo), np.diff(w.first))
@@ -254,11 +258,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, ma
                 toxic = np.bincount(back, y[lo:hi][pairs[0]])
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(toxic.astype(np.int64)), pa.array(np.bincount(back).astype(np.int64))], ["h", "toxic", "n"])
 
-    total = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
-    if not 0 < total["t"] < total["n"]:
-        return Model(np.zeros(0, U), np.zeros(0), mean=float(total["t"] / total["n"]) if total["n"] else 0.0)
-    prior = total["t"] / total["n"]
-    counts = sample.mapInArrow(seen, "h long, toxic long, n long").groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
+    totals = {r["aside"]: (r["n"], r["t"]) for r in sample.groupBy("aside").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).collect()}
+    many, toxic = (sum(x[k] for x in totals.values()) for k in (0, 1))
+    if not 0 < toxic < many:
+        return Model(np.zeros(0, U), np.zeros(0), mean=float(toxic / many) if many else 0.0)
+    # where either part lacks a class, all rows serve for both
+    split = all(0 < totals.get(k, (0, 0))[1] < totals.get(k, (0, 0))[0] for k in (False, True))
+    prior = totals[False][1] / totals[False][0] if split else toxic / many
+    grown = sample.where("not aside") if split else sample
+    counts = grown.mapInArrow(seen, "h long, toxic long, n long").groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
     # a word's lift over the prior, by a lower bound of its share of toxic documents
     share = (F.col("toxic") + 2 * F.lit(prior)) / (F.col("n") + 2)
     bound = share - 2 * F.sqrt(share * (1 - share) / (F.col("n") + 2))
@@ -272,16 +280,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, ma
             arr = text_column(b, "text")
             for lo, hi in row_slices(arr):
                 x = features(arr.slice(lo, hi - lo), lexicon, model.weights)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), x.shape[1]).cast(pa.list_(pa.float64()))], ["doc_id", "toxic", "x"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, hi - lo) for c in range(3)), pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), x.shape[1]).cast(pa.list_(pa.float64()))], ["doc_id", "toxic", "aside", "x"])
 
-    rows = sorted(sample.mapInArrow(dense, "doc_id long, toxic int, x array<double>").limit(2 * max_labels).collect())
+    rows = sorted(sample.mapInArrow(dense, "doc_id long, toxic int, aside boolean, x array<double>").collect())  # max_labels rows at most
     x, y = np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], float)
-    ids = np.array([r["doc_id"] for r in rows], np.int64).view(U)
-    aside = (mix(ids) % U(3)) == 2
-    if len(set(y[~aside])) < 2 or not aside.any():
-        aside = np.zeros(len(y), bool)
-    model.start, model.trees = boost(x[~aside], y[~aside])
-    on = aside if aside.any() else ~aside
+    on = np.array([r["aside"] for r in rows]) if split else np.ones(len(y), bool)
+    model.start, model.trees = boost(x[~on], y[~on]) if split else boost(x, y)
     model.steps = isotonic(model.margins(x[on]), y[on])
     return model
 

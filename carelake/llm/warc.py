@@ -14,13 +14,14 @@ ones are all responses. Rows that repeat the smallest id are responses too.
 
 Cases: a null payload is empty; a null id is never a revisit nor referred to; null
 urls are written as an empty target; records with missing or surplus segments or
-a wrong length come back with ok false and no payload; an empty table gives an
-empty result; other columns are never read.
+a wrong length come back with ok false and no payload; what follows a record that
+can't be told from the next one (no header, no length, a cut file) comes back as
+one row of type broken with ok false; field names have no case and may be folded;
+an empty table gives an empty result; other columns are never read.
 """
 
 from __future__ import annotations
 
-import gzip
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import drop_path, new_path, written
 
 SEGMENT, CHUNK, MIN_REVISIT = 1 << 15, 1 << 12, 100
+#: Bytes of a header at most.
+MAX_HEAD = 1 << 20
 EOL = b"\r\n"
 
 
@@ -61,20 +64,85 @@ def record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + EOL + block + EOL
 
 
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    at = 0
-    while at < len(data):
-        if data[at : at + 2] == EOL:
-            at += 2
-            continue
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError("not a WARC record")
-        fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
-        n = int(fields["Content-Length"])
-        yield fields, data[end + 4 : end + 4 + n]
-        at = end + 4 + n
+def inflated(data: memoryview, step: int = 1 << 18) -> Iterator[bytes]:
+    """The bytes of a file piece by piece; gzip members are inflated as they come."""
+    if bytes(data[:2]) != b"\x1f\x8b":
+        for at in range(0, len(data), step):
+            yield bytes(data[at : at + step])
+        return
+    left, at, member = b"", 0, zlib.decompressobj(31)
+    while at < len(data) or left:
+        piece = left or bytes(data[at : at + step])
+        at += 0 if left else step
+        out = member.decompress(piece, step * 4)
+        left = member.unconsumed_tail
+        if member.eof:
+            left, member = member.unused_data, zlib.decompressobj(31)
+        if out:
+            yield out
+
+
+def _fields(head: bytes) -> dict[str, str]:
+    """The named fields of a header, by their names in lower case; ValueError if it is none."""
+    lines = head.decode("utf-8", "replace").split("\r\n")
+    if not lines[0].startswith("WARC/"):
+        raise ValueError("not a WARC record")
+    out: dict[str, str] = {}
+    name = ""
+    for x in lines[1:]:
+        if x[:1] in (" ", "\t") and name:
+            out[name] += " " + x.strip()
+        else:
+            name, _, value = x.partition(":")
+            name = name.strip().lower()
+            out[name] = value.strip()
+    return out
+
+
+BROKEN = {"warc-type": "broken", "warc-record-id": ""}
+
+
+def records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Fields and block of each record of a file given in pieces; no more than a record and a piece are held."""
+    held = bytearray()
+
+    def more() -> bool:
+        try:
+            held.extend(next(pieces))
+            return True
+        except (StopIteration, zlib.error):
+            return False
+
+    while True:
+        while held[:2] == EOL:
+            del held[:2]
+        if len(held) < 2 or held[:2] == EOL:
+            if more():
+                continue
+            if held:
+                yield BROKEN, b""
+            return
+        at, seen = held.find(b"\r\n\r\n"), 0
+        while at < 0 and len(held) <= MAX_HEAD:
+            seen = max(0, len(held) - 3)
+            if not more():
+                break
+            at = held.find(b"\r\n\r\n", seen)
+        try:
+            if at < 0:
+                raise ValueError("a header has no end")
+            fields = _fields(bytes(held[:at]))
+            n = int(fields["content-length"])
+            if n < 0:
+                raise ValueError("a block has no length")
+            while len(held) < at + 4 + n:
+                if not more():
+                    raise ValueError("the file is cut")
+        except (KeyError, ValueError):
+            yield BROKEN, b""
+            return
+        yield fields, bytes(held[at + 4 : at + 4 + n])
+        del held[: at + 4 + n]
 
 
 def _written(batches, segment: int, chunk: int):
@@ -118,14 +186,12 @@ def write(df: DataFrame, path: str, id_: str = "page_id", url: str = "url", payl
 def _parsed(batches):
     names = ["id", "kind", "name", "origin", "segment", "total", "digest", "refers", "block"]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
-    number = lambda x: int(x) if x else None
+    number = lambda x: int(x) if x and x.strip("-").isdigit() else None
     for b in batches:
         for data in b.column(0):
-            raw = data.as_buffer()
-            raw = gzip.decompress(raw) if bytes(raw[:2]) == b"\x1f\x8b" else raw.to_pybytes()
             rows, size = [], 0
-            for f, block in records(raw):
-                rows.append((number(f.get("Row-ID")), f["WARC-Type"], f["WARC-Record-ID"], f.get("WARC-Segment-Origin-ID"), number(f.get("WARC-Segment-Number")), number(f.get("WARC-Segment-Total-Length")), f.get("WARC-Payload-Digest", "").rpartition(":")[2], number(f.get("Refers-To-Row-ID")), block))
+            for f, block in records(inflated(memoryview(data.as_buffer()))):
+                rows.append((number(f.get("row-id")), f.get("warc-type"), f.get("warc-record-id"), f.get("warc-segment-origin-id"), number(f.get("warc-segment-number")), number(f.get("warc-segment-total-length")), f.get("warc-payload-digest", "").rpartition(":")[2], number(f.get("refers-to-row-id")), block))
                 size += len(block)
                 if size > 1 << 22:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names)

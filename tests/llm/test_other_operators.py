@@ -61,6 +61,28 @@ def test_broken_segments_and_framing(spark, tmp_path):
         warc.unchunked(b"5\r\nabc\r\n0\r\n\r\n")
 
 
+def test_odd_archives(spark, tmp_path):
+    import gzip
+
+    body = b"HTTP/1.1 200 OK\r\n\r\nhello"
+    digest = hashlib.sha256(b"hello").hexdigest()
+    lower = b"WARC/1.0\r\nwarc-type: response\r\nWARC-RECORD-ID: <a>\r\nrow-id: 1\r\nwarc-target-uri: http://x/\r\n  folded\r\nwarc-payload-digest: sha256:" + digest.encode() + b"\r\ncontent-length:%d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+    unlengthed = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <b>\r\nRow-ID: 2\r\n\r\n" + body + b"\r\n\r\n"
+    fields = next(warc.records(iter([lower])))[0]
+    assert fields["warc-target-uri"] == "http://x/ folded"
+    members = gzip.compress(lower) + gzip.compress(lower.replace(b"row-id: 1", b"row-id: 3"))
+    (tmp_path / "f").mkdir()
+    for name, data in {"a.warc": lower + unlengthed, "b.warc.gz": members, "c.warc.gz": gzip.compress(lower.replace(b"row-id: 1", b"row-id: 4") * 3)[:-30], "d.warc": b"no archive at all", "e.warc": b"", "g.warc": b"\r\n\r\n"}.items():
+        (tmp_path / "f" / name).write_bytes(data)
+    got = [(r["id"], r["record_type"], r["ok"]) for r in warc.read(spark, f"file://{tmp_path}/f").collect()]
+    good = [x for x in got if x[1] == "response"]
+    assert {x[0] for x in good} >= {1, 3} and all(ok for _, _, ok in good)
+    assert [x for x in got if x[1] == "broken"] == [(None, "broken", False)] * 3  # of a, c and d
+    pieces = lower * 5
+    for step in (1, 7, 1000):  # however the file is given
+        assert len(list(warc.records(iter([pieces[k : k + step] for k in range(0, len(pieces), step)])))) == 5
+
+
 def test_neighbours(spark):
     r = np.random.default_rng(3)
     v = r.standard_normal((1500, 16)) * r.uniform(0.5, 2, (1500, 1))
@@ -196,6 +218,22 @@ def test_each_occurrence_is_cut_by_itself():
         assert len(cuts) == 1 if not dropout else len(cuts) > 8
 
 
+def test_agenda_of_unspaced_text():
+    import time
+
+    c = sentencepiece_codec.Codec(sentencepiece_codec.default_model())
+    r = random.Random(2)
+    for text in ("".join(r.choice("international") for _ in range(40_000)), "".join(r.choice("日本語テキスト中国人") for _ in range(40_000))):
+        began = time.process_time()
+        ids, off = c.encode([text], np.array([7]), 5, 0.1)
+        assert time.process_time() - began < 3
+        assert c.decode(ids, off) == [text.encode()]
+    key = int(c.keyed(np.array([9]), 5)[0])
+    places, pieces = np.arange(500) * 7919, np.arange(500) % 300
+    many = c.skipped(places, pieces, np.full(500, key, np.uint64), 0.3).tolist()
+    assert many == [sentencepiece_codec._skips(int(a), int(b), key, 0.3) for a, b in zip(places, pieces)] and 100 < sum(many) < 200
+
+
 def test_documents_with_one_text_are_cut_differently(spark):
     df = spark.createDataFrame([(k, "international understanding") for k in range(400)], "doc_id long, text string")
     assert len({tuple(r["ids"]) for r in sentencepiece_codec.encode(df).collect()}) > 8
@@ -221,6 +259,38 @@ def test_shares_go_to_siblings_before_ancestors():
     assert mixing.budgets(50, leaves, lambda p: 0.0 if p == ("a",) else 1.0)[("a", "x", "1")] == 0.0
 
 
+def test_mixing_against_sorted_lists(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLICES", 1 << 16)
+    r = random.Random(14)
+    rows = [(k, " ".join("w" * r.randrange(1, 4) for _ in range(r.randrange(0, 40))), r.choice(["en", "de", None]), r.choice(["src1", "src2", "src3", None, "abc"])) for k in range(900)]
+    rows += [(5, rows[5][1], "en", "src1"), (None, "a b c", "de", "src2"), (901, None, "en", "src1")]
+    names = ["__leaf", "copies", "domain", "__keep", "place", "n", "slice"]
+    df = spark.createDataFrame([(*x, *names) for x in rows], "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names))
+    for fraction, epochs in ((0.3, 1), (0.9, 1), (1.7, 2)):
+        hashed = spark.createDataFrame([(k, x[0], x[1]) for k, x in enumerate(rows)], "k int, i long, t string")
+        leaf_of = lambda x: ((("web", "books", "code")[int(re.search(r"\d+$", x[3])[0]) % 3] if re.search(r"\d+$", x[3] or "") else "other"), x[2], x[3])
+        size = [len((x[1] or "").split()) for x in rows]
+        leaves = {}
+        for k, x in enumerate(rows):
+            leaves.setdefault(leaf_of(x), []).append(k)
+        have = {leaf: float(sum(size[k] for k in ks)) for leaf, ks in leaves.items()}
+        have = {leaf: v for leaf, v in have.items() if v}
+        dealt = mixing.budgets(fraction * sum(have.values()), {leaf: v * epochs for leaf, v in have.items()}, lambda p: float(mixing.WEIGHTS.get(p, mixing.WEIGHTS.get(p[-1], 1.0))))
+        want = [0] * len(rows)
+        for leaf, v in have.items():
+            whole, rest = int(dealt[leaf] // v), dealt[leaf] % v
+            order = {q["k"]: tuple(q)[1:] for q in hashed.select("k", F.xxhash64(F.lit(17), F.lit(whole), "i", F.xxhash64("t")).alias("o"), "i", F.xxhash64("t").alias("h")).collect()}
+            before = 0
+            for k in sorted(leaves[leaf], key=lambda k: tuple((y is not None, y) for y in order[k])):
+                if size[k]:
+                    want[k] = whole + (before < rest)
+                before += size[k]
+        got = mixing.plan(df, "doc_id", "text", fraction=fraction, max_epochs=epochs).collect()
+        assert sorted((str(x["doc_id"]), str(x["text"]), x["copies"]) for x in got) == sorted((str(x[0]), str(x[1]), w) for x, w in zip(rows, want)), (fraction, epochs)
+        taken = mixing.take(df, fraction=fraction, max_epochs=epochs)
+        assert taken.columns == df.columns and taken.count() == sum(want)
+
+
 def test_mixing_takes_prefixes(spark):
     r = random.Random(4)
     rows = [(k, "w " * r.randrange(30), r.choice(["en", "de", None]), r.choice(["src1", "src2", None, "abc"])) for k in range(600)] + [(7000, None, "en", "src1"), (None, "a b", "en", "src1"), (8, "a b c", "en", "src1"), (8, "a b c", "en", "src1")]

@@ -335,6 +335,103 @@ def test_toxicity(spark):
     assert toxicity.classify(make(spark, []), labels).collect() == []
 
 
+def plain_toxic_features(text, weights):
+    """FEATURES of a text, word by word."""
+    keep = set("@$*'")
+    tokens, word = [], b""
+    for ch in (text or "").encode() + b" ":
+        if chr(ch) in keep or 48 <= ch < 58 or 65 <= ch < 91 or 97 <= ch < 123 or ch >= 128:
+            word += bytes([ch])
+        elif word:
+            tokens.append(word)
+            word = b""
+    low = [bytes(c + 32 if 65 <= c < 91 else c for c in w) for w in tokens]
+    read = [b"".join(toxicity.STANDS_FOR.get(chr(c), "").encode() if chr(c) in toxicity.STANDS_FOR else bytes([c]) for c in w) for w in low]
+    person = {p.encode() for p in toxicity.PERSON}
+    plain, hidden = [weights.get(w, 0.0) for w in low], [weights.get(w, 0.0) for w in read]
+    value = [max(a, b) for a, b in zip(plain, hidden)]
+    n, hits = len(tokens), [v > 0 for v in value]
+    near = sum(h and any(low[j] in person for j in range(max(0, k - 4), min(n, k + 5))) for k, h in enumerate(hits))
+    letter = lambda c: 65 <= c < 91 or 97 <= c < 123 or c >= 128
+    signs = set(map(ord, toxicity.STANDS_FOR))
+    mixed = sum(any(map(letter, w)) and any(c in signs for c in w) for w in tokens)
+    shouted = sum(len(w) > 2 and all(65 <= c < 91 for c in w) for w in tokens)
+    raw, base = (text or "").encode(), max(n, 1)
+    veiled = sum(b > 0 and a == 0 for a, b in zip(plain, hidden))
+    seeds = {s.encode() for s in toxicity.SEED}
+    size = max(len(raw), 1)
+    return [n, sum(hits), sum(hits) / base, sum(value), sum(value) / base, near, sum(w in person for w in low) / base, veiled, veiled / base, mixed / base, sum(65 <= c < 91 for c in raw) / size, shouted / base, sum(c in b"!?" for c in raw) / size, sum(w in seeds for w in low), max(value, default=0.0)]
+
+
+def test_toxic_features_as_word_by_word():
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(3)
+    bits = ["you", "IDIOT", "st*pid", "m0ron", "tu", "word", "Hello!", "what?", "d'accord", "él", "$cum", "123", "!!!", "YOUR", "gr0bbl", "a", "*"]
+    texts = ["", " ", None, "x"] + [r.choice([" ", ", ", "\n"]).join(r.choice(bits) for _ in range(r.randrange(1, 60))) for _ in range(80)]
+    weights = {s.encode(): 0.5 for s in toxicity.SEED} | {b"grobbl": 0.9, b"word": 0.1}
+    h = toxicity.word_hash([w.decode() for w in weights])
+    order = np.argsort(h)
+    got = toxicity.features(pa.array([t or "" for t in texts]), h[order], np.array(list(weights.values()))[order])
+    for k, t in enumerate(texts):
+        assert np.allclose(got[k], plain_toxic_features(t, weights)), t
+
+
+def test_first_split_and_calibration_as_by_search():
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    x = np.round(r.random((300, 3)), 2)
+    y = (r.random(300) < np.where(x[:, 1] > 0.6, 0.8, 0.1)).astype(float)
+    start, trees = toxicity.boost(x, y, trees=1, depth=1)
+    p = y.mean()
+    g, hess, best = p - y, p * (1 - p), (0.0, None)
+    assert abs(start - np.log(p / (1 - p))) < 1e-12
+    for f in range(3):
+        cuts = np.unique(np.quantile(x[:, f], np.linspace(0, 1, 49)[1:-1]))[:-1]
+        for c in cuts:
+            left = x[:, f] <= c
+            if min(left.sum(), (~left).sum()) >= 8:
+                gain = g[left].sum() ** 2 / (hess * left.sum() + 1) + g[~left].sum() ** 2 / (hess * (~left).sum() + 1) - g.sum() ** 2 / (hess * 300 + 1)
+                best = max(best, (gain, (f, c, -g[left].sum() / (hess * left.sum() + 1) * 0.15, -g[~left].sum() / (hess * (~left).sum() + 1) * 0.15)), key=lambda b: b[0])
+    assert np.allclose(trees[0], best[1])
+    margin = np.round(r.random(60), 1)
+    z = (r.random(60) < margin).astype(float)
+    at, prob = toxicity.isotonic(margin, z)
+    # the least-squares monotone fit by its min-max form, with the pseudo-row of each block
+    values = np.unique(margin)
+    total, count = (np.array([f(z[margin == v]) for v in values]) for f in (np.sum, len))
+    mean = lambda a, b: total[a : b + 1].sum() / count[a : b + 1].sum()
+    fit = np.array([max(min(mean(a, b) for b in range(k, len(values))) for a in range(k + 1)) for k in range(len(values))])
+    want = []
+    for k, v in enumerate(fit):
+        block = np.isclose(fit, v)
+        want.append((total[block].sum() + z.mean()) / (count[block].sum() + 1))
+    assert np.allclose(np.interp(values, at, prob), np.maximum.accumulate(want))
+    assert (np.diff(prob) >= 0).all()
+
+
+def test_quality_stage_keeps_columns_of_any_name(spark):
+    names = ["__id", "__quality", "id", "quality", "h", "three", "rule", "kept", "__keep", "n_words"]
+    rows = corpus() + [(3000 + k, "bad $$$ " * 60 + f"t{k}") for k in range(40)]
+    labels = spark.createDataFrame([(i, int(i < 3000), 0) for i, _ in rows if i is not None], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([(i, t, *names) for i, t in rows], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    want = sorted((str(r["doc_id"]), r["text"]) for r in quality.good(make(spark, rows), labels).collect())
+    got = quality.good(docs, labels)
+    assert got.columns == docs.columns and sorted((str(r["doc_id"]), r["text"]) for r in got.collect()) == want
+    assert all(r[n] == n for r in got.collect() for n in names)
+
+
+def test_pruned_rules_hold_one_bound_a_feature():
+    import numpy as np
+
+    x = np.random.default_rng(2).random((2000, len(quality.FEATURES)))
+    bad = x[:, 3] > 0.8
+    rule = quality.Rule((("symbol_share", True, 0.0), ("dup_line_share", True, 0.3), ("dup_line_share", True, 0.8), ("n_words", False, 0.99999)))
+    assert quality._prune(rule, x, bad) == quality.Rule((("dup_line_share", True, 0.8),))
+
+
 def brute_features(text):
     t = text or ""
     w = WORD.findall(t)
@@ -358,9 +455,10 @@ def brute_quality(docs, labels):
         if i is not None and q is not None:
             marks[i] = min(marks.get(i, q), q)
     seen = {i: brute_features(t) for i, t, *_ in docs}
-    known = sorted((i, marks[i], *seen[i][0]) for i in seen if i in marks)
+    base = lambda i: seen[i][0][0] < 50 or 100 * seen[i][1] > 50 * seen[i][0][0]
+    known = sorted((i, marks[i], *seen[i][0]) for i in seen if i in marks and not base(i))
     rules = quality.learn(np.array([r[2:] for r in known], float), np.array([r[1] == 0 for r in known]))
-    bad = lambda i: seen[i][0][0] < 50 or 100 * seen[i][1] > 50 * seen[i][0][0] or any(r.meets(np.array([seen[i][0]], float))[0] for r in rules)
+    bad = lambda i: base(i) or any(r.meets(np.array([seen[i][0]], float))[0] for r in rules)
     return [d for d in docs if not bad(d[0])]
 
 
