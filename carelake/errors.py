@@ -43,6 +43,18 @@ class DocumentError(EngineError):
     status = 400
 
 
+class NotModified(EngineError):
+    """The caller has the current version already."""
+
+    status = 304
+
+
+class Invalid(EngineError):
+    """A document breaks the rules of its type."""
+
+    status = 422
+
+
 class PathError(EngineError):
     """A path expression can't be parsed or evaluated."""
 

@@ -6,9 +6,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
 from ..errors import PathError
 from ..functions.fhirpath import Context, evaluate
-from ..functions.fhirpath.values import Node, root
+from ..functions.fhirpath.values import Node, parse_json, root
 from ..registry import Registry, default
 from .validate import Issue
 
@@ -22,6 +25,7 @@ class Rule:
     max: str = "*"
     fixed: Any = None
     pattern: Any = None
+    type: str | None = None
 
 
 @dataclass(frozen=True)
@@ -79,7 +83,7 @@ def _belongs(node: Node, s: Slice, discriminators: tuple[tuple[str, str], ...])
             if bool(found) != (rule.min > 0):
                 return False
         elif kind == "type":
-            if not any(x.type == rule.fixed for x in found):
+            if not any(x.type == rule.type for x in found):
                 return False
         else:
             want = rule.fixed if rule.fixed is not None else rule.pattern
@@ -98,9 +102,9 @@ def _check(node: Node, rules: tuple[Rule, ...], where: str) -> Iterator[Issue]:
         if r.max != "*" and len(found) > int(r.max):
             yield Issue("error", "structure", at, f"at most {r.max} allowed, {len(found)} found")
         for x in found:
-            if r.fixed is not None and not isinstance(r.fixed, str | bool | int | float | dict | list):
-                continue
-            if r.fixed is not None and r.fixed != x.type and not (matches(r.fixed, x.data) and matches(x.data, r.fixed)):
+            if r.type is not None and x.type != r.type:
+                yield Issue("error", "value", at, f"must be of type {r.type}")
+            if r.fixed is not None and not (matches(r.fixed, x.data) and matches(x.data, r.fixed)):
                 yield Issue("error", "value", at, f"must be {r.fixed!r}")
             if r.pattern is not None and not matches(r.pattern, x.data):
                 yield Issue("error", "value", at, f"must match {r.pattern!r}")
@@ -132,3 +136,28 @@ def check(content: dict | str, profile: Profile, registry: Registry | None = Non
             if s.max != "*" and counts[s.name] > int(s.max):
                 out.append(Issue("error", "structure", f"{where}:{s.name}", f"at most {s.max} allowed, {counts[s.name]} found"))
     return out
+
+
+def validate_profiles(resources: DataFrame, profiles: dict[str, Profile], urls: list[str] | None = None) -> DataFrame:
+    """Rows (pid, profile, place, severity, code, path, details) of findings for (pid, content).
+
+    Each document is held against the profiles of urls, or else against those that
+    its meta.profile names; a profile that is not known is a finding of its own.
+    """
+
+    def run(batches):
+        kinds = (pa.int64(), pa.string(), pa.int32(), *[pa.string()] * 4)
+        for b in batches:
+            rows: list[tuple] = []
+            for pid, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if content is None:
+                    continue
+                doc = parse_json(content)
+                meta = doc.get("meta") if isinstance(doc, dict) else None
+                for url in urls if urls is not None else (meta or {}).get("profile") or []:
+                    known = profiles.get(url.partition("|")[0])
+                    issues = check(doc, known) if known else [Issue("information", "not-supported", "", f"profile {url} is not known: NOT checked")]
+                    rows += [(pid, url, n, i.severity, i.code, i.path, i.details) for n, i in enumerate(issues)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], ["pid", "profile", "place", "severity", "code", "path", "details"])
+
+    return resources.select("pid", "content").mapInArrow(run, "pid long, profile string, place int, severity string, code string, path string, details string")
