@@ -172,10 +172,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> lis
     """The decision list for docs (doc_id, text) from labels (doc_id, quality)."""
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(max_labels)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    got = texts.join(F.broadcast(known), "id").groupBy("id").agg(F.min("quality").alias("quality"), F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))  # max_labels rows at most
-    rows = statistics(got, "id", "quality").select("id", "quality", failed().alias("failed"), *FEATURES).collect()
-    rows = sorted(tuple(r) for r in rows if not r["failed"])  # here, as a filter would be pushed into the statistics and multiply them
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"), F.col("text"))
+    got = statistics(texts.join(F.broadcast(known), "id"), "id", "quality", "h")  # max_labels rows at most
+    one = got.groupBy("id", "quality").agg(F.min(F.struct("h", failed().alias("failed"), *FEATURES)).alias("x"))
+    rows = one.select("id", "quality", "x.failed", *[f"x.{f}" for f in FEATURES]).collect()
+    rows = sorted(tuple(r) for r in rows if not r["failed"])  # not by a filter, which would be pushed into the statistics and multiply them
     x = np.array([[float(v) for v in r[3:]] for r in rows]).reshape(len(rows), len(FEATURES))
     return learn(x, np.array([r[1] == 0 for r in rows], bool))
 

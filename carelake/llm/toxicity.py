@@ -7,9 +7,9 @@ to second-person words, shares of capitals and punctuation, and rates of
 obfuscated words (those that only match once stand-ins are read as letters).
 
 Learning reads a bounded sample of labelled documents (max_labels, the smallest
-by a hash of doc_id); two thirds of it give the lexicon and grow the trees, the
-rest, of which neither has seen anything, calibrates them. Scores cover every
-document.
+by a hash of doc_id) in FOLDS parts: a labelled row's features come of a lexicon of
+the other parts' words, and its margin, by which the scores are calibrated, of trees
+grown on the other parts. Scores cover every document.
 
 Cases: null and empty texts get the score of a text without words; a null doc_id
 is scored like any other; conflicting labels of a doc_id count as the higher one,
@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import row_slices, text_column, written
@@ -33,6 +33,7 @@ from .wordhash import U, Words, mix, powers
 
 MAX_LABELS = 20_000
 MAX_LEXICON = 400
+FOLDS = 3
 
 #: The seed lexicon and second-person words of four languages.
 SEED = ("idiot", "moron", "stupid", "loser", "trash", "pathetic", "disgusting", "worthless", "clown", "dumb", "scum", "garbage", "shut", "hate", "ugly", "filthy", "imbecile", "fool", "jerk", "creep", "dumm", "idiota", "imbécil", "estúpido", "basura", "asqueroso", "stupide", "imbécile", "nul", "dégoûtant", "ordure", "abruti", "trottel", "dummkopf", "abschaum", "ekelhaft", "wertlos", "versager")
@@ -235,13 +236,13 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _of_sample(docs: DataFrame, labels: DataFrame, max_labels: int, learn_from: Column) -> DataFrame:
-    """doc_id, toxic, aside (whether it is for calibration) and text of the sample, one row for each doc_id."""
+    """doc_id, toxic, fold and text of the sample, one row for each doc_id."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.where(learn_from).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = texts.join(F.broadcast(known), "doc_id")  # max_labels rows at most
     one = found.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
-    return one.select("doc_id", "toxic", (F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(3)) == 2).alias("aside"), "text")
+    return one.select("doc_id", "toxic", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold"), "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, max_labels: int = MAX_LABELS) -> Model:
@@ -249,44 +250,59 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, ma
 
     def seen(batches):
         for b in batches:
-            arr, y = text_column(b, "text"), b.column(1).to_numpy().astype(np.int64)
+            arr, y, fold = text_column(b, "text"), b.column(1).to_numpy().astype(np.int64), b.column(2).to_numpy()
             for lo, hi in row_slices(arr):
                 w, _ = _tokens(arr.slice(lo, hi - lo))
                 row = np.repeat(np.arange(hi - lo), np.diff(w.first))
                 pairs = np.unique(np.stack([row.astype(np.int64), w.hashes.view(np.int64)]), axis=1)
-                h, back = np.unique(pairs[1], return_inverse=True)
-                toxic = np.bincount(back, y[lo:hi][pairs[0]])
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(toxic.astype(np.int64)), pa.array(np.bincount(back).astype(np.int64))], ["h", "toxic", "n"])
+                keys, back = np.unique(np.stack([pairs[1], fold[lo:hi][pairs[0]]]), axis=1, return_inverse=True)
+                toxic = np.bincount(back.reshape(-1), y[lo:hi][pairs[0]])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(keys[1].astype(np.int32)), pa.array(toxic.astype(np.int64)), pa.array(np.bincount(back.reshape(-1)).astype(np.int64))], ["h", "fold", "toxic", "n"])
 
-    totals = {r["aside"]: (r["n"], r["t"]) for r in sample.groupBy("aside").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).collect()}
+    totals = {r["fold"]: (r["n"], r["t"]) for r in sample.groupBy("fold").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).collect()}
     many, toxic = (sum(x[k] for x in totals.values()) for k in (0, 1))
     if not 0 < toxic < many:
         return Model(np.zeros(0, U), np.zeros(0), mean=float(toxic / many) if many else 0.0)
-    # where either part lacks a class, all rows serve for both
-    split = all(0 < totals.get(k, (0, 0))[1] < totals.get(k, (0, 0))[0] for k in (False, True))
-    prior = totals[False][1] / totals[False][0] if split else toxic / many
-    grown = sample.where("not aside") if split else sample
-    counts = grown.mapInArrow(seen, "h long, toxic long, n long").groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
-    # a word's lift over the prior, by a lower bound of its share of toxic documents
-    share = (F.col("toxic") + 2 * F.lit(prior)) / (F.col("n") + 2)
-    bound = share - 2 * F.sqrt(share * (1 - share) / (F.col("n") + 2))
-    best = counts.where("n >= 5").withColumn("bound", bound).where(F.col("bound") > 2 * prior).orderBy(F.desc("bound"), F.desc("n"), "h").limit(MAX_LEXICON).collect()
-    weights = dict.fromkeys(_SEED_HASHES.tolist(), 0.5) | {r["h"] % (1 << 64): float(r["bound"]) for r in best}
-    lexicon = np.array(sorted(weights), U)
-    model = Model(lexicon, np.array([weights[int(h)] for h in lexicon]))
+    # the last lexicon is of all parts and scores the corpus; the others leave one part out
+    left_out = [*range(FOLDS), -1]
+    prior = [(toxic - totals.get(k, (0, 0))[1]) / max(many - totals.get(k, (0, 0))[0], 1) for k in left_out]
+    counts = sample.mapInArrow(seen, "h long, fold int, toxic long, n long").groupBy("h").agg(*[F.sum(F.when(F.col("fold") != k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for k in left_out for c in ("toxic", "n")])
+
+    def bound(k: int) -> Column:
+        """A lower bound of a word's share of toxic documents."""
+        n = F.col(f"n{k}")
+        share = (F.col(f"toxic{k}") + 2 * F.lit(prior[k])) / (n + 2)
+        return share - 2 * F.sqrt(share * (1 - share) / (n + 2))
+
+    each = F.array(*[F.struct(F.lit(k).alias("k"), bound(k).alias("bound"), F.col(f"n{k}").alias("n"), F.lit(2 * prior[k]).alias("least")) for k in left_out])
+    best = counts.select("h", F.explode(each).alias("e")).where("e.n >= 5 and e.bound > e.least")
+    best = best.withColumn("r", F.row_number().over(Window.partitionBy("e.k").orderBy(F.desc("e.bound"), F.desc("e.n"), "h"))).where(F.col("r") <= MAX_LEXICON).select("h", "e.k", "e.bound").collect()
+    lexicons = []
+    for k in left_out:
+        weights = dict.fromkeys(_SEED_HASHES.tolist(), 0.5) | {r["h"] % (1 << 64): float(r["bound"]) for r in best if r["k"] == k}
+        words = np.array(sorted(weights), U)
+        lexicons.append((words, np.array([weights[int(h)] for h in words])))
 
     def dense(batches):
         for b in batches:
-            arr = text_column(b, "text")
+            arr, fold = text_column(b, "text"), b.column(2).to_numpy()
             for lo, hi in row_slices(arr):
-                x = features(arr.slice(lo, hi - lo), lexicon, model.weights)
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, hi - lo) for c in range(3)), pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), x.shape[1]).cast(pa.list_(pa.float64()))], ["doc_id", "toxic", "aside", "x"])
-
-    rows = sorted(sample.mapInArrow(dense, "doc_id long, toxic int, aside boolean, x array<double>").collect())  # max_labels rows at most
-    x, y = np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], float)
-    on = np.array([r["aside"] for r in rows]) if split else np.ones(len(y), bool)
-    model.start, model.trees = boost(x[~on], y[~on]) if split else boost(x, y)
-    model.steps = isotonic(model.margins(x[on]), y[on])
+                x = np.zeros((hi - lo, len(FEATURES)))
+                for k in np.unique(fold[lo:hi]):
+                    at = np.flatnonzero(fold[lo:hi] == k)
+                    x[at] = features(arr.take(pa.array(at + lo)), *lexicons[k])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, hi - lo) for c in range(3)), pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), x.shape[1]).cast(pa.list_(pa.float64()))], ["doc_id", "toxic", "fold", "x"])
+
+    rows = sorted(sample.mapInArrow(dense, "doc_id long, toxic int, fold int, x array<double>").collect())  # max_labels rows at most
+    x, y, fold = np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], float), np.array([r["fold"] for r in rows])
+    model = Model(*lexicons[-1])
+    model.start, model.trees = boost(x, y)
+    margin = model.margins(x)
+    for k in range(FOLDS):
+        rest = fold != k
+        if 0 < y[rest].sum() < rest.sum():  # else, in tiny samples, the trees of all rows serve
+            margin[~rest] = Model(*lexicons[-1], *reversed(boost(x[rest], y[rest]))).margins(x[~rest])
+    model.steps = isotonic(margin, y)
     return model
 
 
