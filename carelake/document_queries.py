@@ -109,12 +109,10 @@ mapped("document_xml_writer", "Patient", _as_xml, _CUSTOMER.format("c_name"))
 @registered("document_lines_round_trip", "SELECT 'Patient' AS resource_type, 'c' || c_custkey AS fhir_id, c_name AS family FROM customer")
 def document_lines_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newline-delimited JSON, written to the shared folder and read back."""
-    import uuid
-
     from .sources.documents import read_lines, write_lines
-    from .workspace import shared_dir
+    from .workspace import new_path
 
-    path = f"{shared_dir(spark)}/lines/{uuid.uuid4().hex}"
+    path = new_path(spark, "lines")
     write_lines(documents(spark, sf_dir, "Patient"), path)
     return read_lines(spark, path).select("resource_type", "fhir_id", F.get_json_object("content", "$.name[0].family").alias("family"))
 
@@ -122,12 +120,10 @@ def document_lines_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("document_folder_reader", "SELECT 'Location' AS resource_type, 'n' || n_nationkey AS fhir_id FROM nation UNION ALL SELECT 'Location', 'r' || r_regionkey FROM region")
 def document_folder_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file for each document, written to the shared folder and read back."""
-    import uuid
-
     from .sources.documents import read_folder
-    from .workspace import shared_dir
+    from .workspace import new_path
 
-    path = f"{shared_dir(spark)}/folder/{uuid.uuid4().hex}"
+    path = new_path(spark, "folder")
     documents(spark, sf_dir, "Location").select(F.col("content").alias("value"), F.col("fhir_id").alias("name")).write.partitionBy("name").text(path)
     return read_folder(spark, f"{path}/*").select("resource_type", "fhir_id")
 
@@ -206,6 +202,20 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "k string, v string")
 
 
+@registered("content_negotiation", """SELECT f, 'Patient/c' || c_custkey AS url, c_name AS family FROM (SELECT * FROM customer ORDER BY c_name, c_custkey LIMIT 15) CROSS JOIN (SELECT unnest(['xml', 'json', 'accept xml']) AS f)""")
+def content_negotiation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One searchset as XML and as JSON, read back from its text."""
+    from .sources.documents import from_json, from_xml
+
+    e, query, rows = engine(spark, sf_dir), "Patient?_sort=family&_count=15", []
+    for name, text in (("xml", e.document(f"{query}&_format=xml")), ("json", e.document(f"{query}&_format=application/fhir%2Bjson", "application/fhir+xml")), ("accept xml", e.document(query, "text/html, application/fhir+xml;q=0.9, */*"))):
+        doc = from_json(text) if text.startswith("{") else from_xml(text)
+        if text.startswith("{") != (name == "json"):
+            raise ValueError(f"{name} was answered in the other form")
+        rows += [(name, x["fullUrl"], x["resource"]["name"][0]["family"]) for x in doc["entry"]]
+    return spark.createDataFrame(rows, "f string, url string, family string")
+
+
 # validation
 def found(name: str, type_: str, change: Made, test: str, sql: str) -> None:
     """Rows (id, n): how many findings of a kind each changed document has."""

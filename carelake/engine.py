@@ -71,3 +71,24 @@ class Engine:
                 links.append({"relation": "next", "url": f"{head}?{urlencode([*kept, ('_cursor', cursor)])}"})
         out["link"] = links
         return out
+
+    def document(self, query: str, accept: str = "") -> str:
+        """The searchset as text, in the form that _format asks for, or else the first known one of accept, or else JSON."""
+        from .sources.documents import to_json, to_xml
+
+        asked = [v for k, v in parse_qsl(query.partition("?")[2]) if k == "_format"]
+        found = self.bundle(query)
+        return to_xml(found) if media(asked[0] if asked else "", accept) == "xml" else to_json(found)
+
+
+#: Names of the two forms.
+FORMS = {"json": ("application/fhir+json", "application/json", "json", "text/json", "*/*", "application/*"), "xml": ("application/fhir+xml", "application/xml", "xml", "text/xml")}
+
+
+def media(asked: str, accept: str = "") -> str:
+    """json or xml: what is asked for by name, or else the first entry of accept that is one of them; JSON by default."""
+    for name in (asked, *(part.partition(";")[0].strip() for part in accept.split(","))):
+        for form, names in FORMS.items():
+            if name.lower().replace(" ", "+") in names:
+                return form
+    return "json"

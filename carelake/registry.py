@@ -223,7 +223,7 @@ managingOrganization Reference 0..1 ->Organization *""",
     "DetectedIssue": "status code 1..1\ncode CodeableConcept 0..1 *\nsubject Reference 0..1 ->Patient *\nauthor Reference 0..1 *\nreference uri 0..1\nevidence BackboneElement 0..*\nevidence.code CodeableConcept 0..*\nevidence.detail Reference 0..*",
     "Group": "identifier Identifier 0..* *\nactive boolean 0..1 *\nname string 0..1 *",
     "Device": "identifier Identifier 0..*\nstatus code 0..1 *\npatient Reference 0..1 ->Patient",
-    "Bundle": "type code 1..1 *\ntotal unsignedInt 0..1 *\nentry BackboneElement 0..* *\nentry.fullUrl uri 0..1 *\nentry.resource Resource 0..1 *\nentry.request BackboneElement 0..1\nentry.request.method code 1..1\nentry.request.url uri 1..1\nentry.request.ifNoneExist string 0..1\nentry.request.ifMatch string 0..1\nentry.request.ifNoneMatch string 0..1",
+    "Bundle": "type code 1..1 *\ntotal unsignedInt 0..1 *\nlink BackboneElement 0..* *\nlink.relation string 1..1 *\nlink.url uri 1..1 *\nentry BackboneElement 0..* *\nentry.fullUrl uri 0..1 *\nentry.resource Resource 0..1 *\nentry.search BackboneElement 0..1 *\nentry.search.mode code 0..1 *\nentry.request BackboneElement 0..1\nentry.request.method code 1..1\nentry.request.url uri 1..1\nentry.request.ifNoneExist string 0..1\nentry.request.ifMatch string 0..1\nentry.request.ifNoneMatch string 0..1",
 }
 
 #: Small code systems bound to elements.

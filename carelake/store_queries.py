@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +12,7 @@ from .queries import ORACLES, QUERIES, registered
 from .sources.star import Star
 from .store import Change, Store
 from .transaction import process
-from .workspace import shared_dir
+from .workspace import new_path
 
 #: When the three writes were made.
 AT = 1_704_067_200_000_000
@@ -21,7 +20,7 @@ _MADE: dict[tuple[str, str], Store] = {}
 
 
 def _new(spark: SparkSession) -> Store:
-    return Store(spark, f"{shared_dir(spark)}/stores/{uuid.uuid4().hex}")
+    return Store(spark, new_path(spark, "stores"))
 
 
 def customers(spark: SparkSession, sf_dir: str) -> Store:
@@ -221,7 +220,7 @@ def incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .schemas import HISTORY
     from .streaming.incremental import index_stream
 
-    base = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    base = new_path(spark, "streams")
     d = Star(spark, sf_dir).resource("Patient").select(*[c.split()[0] for c in HISTORY.split(", ")])
     for part in (0, 1):
         d.where(F.pmod(F.xxhash64("fhir_id"), F.lit(2)) == part).write.mode("append").parquet(f"{base}/history")
