@@ -45,7 +45,7 @@ MAX_BANDS = 24
 #: Vectors of a block, queries compared with it at once, visits of a block in one task.
 BLOCK, CHUNK, VISITS = 8192, 256, 1 << 20
 #: The first candidates of a block that are verified before the test is made again.
-STEPS = (128, 1024)
+STEPS = (128,)
 
 
 def chi_square_quantile(p: float, freedom: int) -> float:
