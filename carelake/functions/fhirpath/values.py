@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from decimal import ROUND_HALF_UP, Context, Decimal
+from decimal import Context, Decimal
 from fractions import Fraction
 from typing import Any
 

@@ -7,7 +7,7 @@ from urllib.parse import parse_qsl
 
 from ..errors import SearchError
 from ..registry import Param, Registry, default
-from .model import DEFAULT_COUNT, MAX_COUNT, MAX_DEPTH, Chain, Clause, Composite, Either, Has, Include, Leaf, Not, Plan, Sort, Value
+from .model import MAX_COUNT, MAX_DEPTH, Chain, Clause, Composite, Has, Include, Leaf, Plan, Sort, Value
 from .ranges import date_bounds, number_bounds, split_prefix
 
 CONTROLS = ("_sort", "_count", "_offset", "_cursor", "_total", "_summary", "_elements", "_include", "_revinclude", "_filter", "_format", "_pretty")
@@ -253,10 +253,3 @@ class Parser:
         if code != "*" and self.param(source, code).kind != "reference":
             raise SearchError(f"{source}.{code} is no reference")
         return Include(source, code, parts[2] if len(parts) == 3 else None, reverse, iterate)
-
-
-def negated(c: Clause) -> Clause:
-    return Not(c)
-
-
-__all__ = ["CONTROLS", "DEFAULT_COUNT", "Either", "Parser", "negated", "pieces", "plain"]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from carelake.functions.fhirpath.values import split_reference
 from carelake.operators import extract_columns
-from carelake.operators.extract import Extractor, wide_rows
+from carelake.operators.extract import wide_rows
 from carelake.plans.ranges import date_bounds, number_bounds
 from carelake.registry import default
 
