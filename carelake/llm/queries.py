@@ -61,7 +61,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents"), "doc_id", fraction=1.0, max_epochs=3)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_segments, op2_projected_neighbours, op3_url_filter, op4_sentencepiece, op5_near_duplicates, op6_substring_dedup, op7_quality_rules, op8_toxicity, op9_license_scan, op10_mixing)}
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op7 judges by before its learned list: all that SQL can say of it."""
+    return quality.statistics(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality.failed().alias("base_failed"))
+
+
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of op9's base phrases: all that SQL can say of it."""
+    return licenses.scan(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_segments, op2_projected_neighbours, op3_url_filter, op4_sentencepiece, op5_near_duplicates, op6_substring_dedup, op7_quality_rules, op8_toxicity, op9_license_scan, op10_mixing, quality_base, license_base)}
 
 #: A host's and path's longest rule, over the rules written out.
 _OP3 = """
@@ -124,4 +134,24 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, CAST(coalesce(m, 0)
 FROM d LEFT JOIN sums USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_warc_segments": _OP1, "op3_url_filter": _OP3, "op5_near_duplicates": _OP5, "op6_substring_dedup": _OP6}
+_QUALITY = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+threes AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) >= 3),
+keyed AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM threes),
+often AS (SELECT doc_id, k FROM keyed GROUP BY 1, 2 HAVING count(*) > 1),
+covered AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM keyed JOIN often USING (doc_id, k)) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(n, 0) > 50 * len(w) AS base_failed
+FROM d LEFT JOIN covered ON covered.doc_id = d.doc_id
+"""
+
+_LICENSE = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda v: v <> '') AS w FROM documents),
+phrases(p, label) AS (VALUES (['gnu', 'general', 'public', 'license'], 'gpl'), (['apache', 'license'], 'apache'), (['cc', 'by'], 'cc-by'), (['mit', 'license'], 'mit')),
+places AS (SELECT doc_id, label, i - 1 AS place FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) JOIN phrases ON w[i : i + len(p) - 1] = p),
+sums AS (SELECT doc_id, count(*) AS n, min(place) AS a, max(place) AS b, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM places GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(a AS BIGINT) AS first_word, CAST(b AS BIGINT) AS last_word, coalesce(labels, '') AS base_labels
+FROM d LEFT JOIN sums ON sums.doc_id = d.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op1_warc_segments": _OP1, "op3_url_filter": _OP3, "op5_near_duplicates": _OP5, "op6_substring_dedup": _OP6, "quality_base": _QUALITY, "license_base": _LICENSE}
