@@ -216,6 +216,26 @@ def content_negotiation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "f string, url string, family string")
 
 
+@registered("access_scopes", """SELECT 'n' || n_nationkey AS id, CASE n_nationkey % 4 WHEN 0 THEN 'patient' WHEN 1 THEN 'user' WHEN 3 THEN 'system' END AS reads, CASE n_nationkey % 4 WHEN 2 THEN 'system' WHEN 3 THEN 'patient' END AS creates FROM nation""")
+def access_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The widest context in which each nation's scopes let locations be read and created."""
+    from .access import granted, parse_scopes
+
+    given = ("openid patient/Location.rs", "user/*.read patient/Location.r launch", "system/Location.c user/Patient.read", "patient/Location.write system/*.rs?x=y")
+    rows = []
+    for r in Star(spark, sf_dir).table("nation").select("n_nationkey").collect():
+        scopes = parse_scopes(given[r[0] % 4])
+        rows.append((f"n{r[0]}", granted(scopes, "Location", "r"), granted(scopes, "Location", "c")))
+    return spark.createDataFrame(rows, "id string, reads string, creates string")
+
+
+@registered("total_modes", "SELECT * FROM (VALUES ('none', NULL), ('estimate', (SELECT count(*) FROM customer WHERE c_mktsegment = 'BUILDING')), ('accurate', (SELECT count(*) FROM customer WHERE c_mktsegment = 'BUILDING'))) AS t(mode, total)")
+def total_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir)
+    rows = [(m, e.bundle(f"Patient?marital-status=BUILDING&_count=1&_total={m}").get("total")) for m in ("none", "estimate", "accurate")]
+    return spark.createDataFrame(rows, "mode string, total long")
+
+
 # validation
 def found(name: str, type_: str, change: Made, test: str, sql: str) -> None:
     """Rows (id, n): how many findings of a kind each changed document has."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .functions.fhirpath import parse
 from .queries import over
 
 _PATIENT = "SELECT 'c' || c_custkey AS id, {} AS v FROM customer JOIN nation ON c_nationkey = n_nationkey"
@@ -82,6 +83,9 @@ event("as_function", "value.as(Quantity).unit & code.text", "'u' || event_type")
 patient("type_name_as_focus", f"Patient.{_FAMILY}", "c_name")
 patient("environment", f"%resource.{_FAMILY} & %context.identifier.value.first() & %ucum.substring(7, 4)", f"c_name || {_K} || 'unit'")
 
+# an expression printed and parsed again means the same
+patient("printed", str(parse("name . where( (family.endsWith('7') or family.endsWith('9')) and true ).select( family & ('-' & %resource.address[0].country) )")), "CASE WHEN ends_with(c_name, '7') OR ends_with(c_name, '9') THEN c_name || '-' || n_name ELSE '' END")
+
 # truth and comparison
 patient("not", "(maritalStatus.text = 'BUILDING').not()", _text("c_mktsegment <> 'BUILDING'"))
 patient("xor_implies", "(maritalStatus.text = 'BUILDING' xor name.family.first().endsWith('1')) implies address.country.first().endsWith('3')", _text("NOT ((c_mktsegment = 'BUILDING') <> ends_with(c_name, '1')) OR ends_with(n_name, '3')"))
