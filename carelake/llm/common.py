@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -84,3 +86,20 @@ def text_column(batch: pa.RecordBatch, name: str) -> pa.StringArray:
     if not pa.types.is_string(col.type):
         col = col.cast(pa.string())
     return col.fill_null("") if col.null_count else col
+
+
+@lru_cache(1)
+def _trimmer():
+    """The C library's way to give freed memory back, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return None
+
+
+def release() -> None:
+    """Gives memory that a batch has freed back to the system: a worker lives through many stages and would keep the largest."""
+    pa.default_memory_pool().release_unused()
+    trim = _trimmer()
+    if trim is not None:
+        trim(0)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_slices, text_column, written
+from .common import release, row_slices, text_column, written
 from .components import components
 from .wordhash import U, mix, words
 
@@ -86,6 +86,7 @@ def _signed(batches, size: int):
             nodes = [hashlib.sha256(t.as_buffer()).digest()[:16] for t in part]
             sets = [(len(s), signature(s) if len(s) else None) for s in shingle_sets(part, size)]
             yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(nodes, pa.binary()), pa.array([n for n, _ in sets], pa.int64()), pa.array([s for _, s in sets], pa.binary())], ["doc_id", "node", "n", "sig"])
+        release()
 
 
 def _bucketed(batches):

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_slices, text_column
+from .common import release, row_slices, text_column
 from .wordhash import U, mix, powers
 
 MODEL = "piece_bpe_32k.model"
@@ -339,7 +339,7 @@ def _run(batches: Iterator[pa.RecordBatch], model, seed: int, dropout: float, ch
                 cols.append(pa.array([x == t.encode("utf-8", "surrogatepass") for x, t in zip(c.decode(got, off), texts)]))
                 names.append("lossless")
             yield pa.RecordBatch.from_arrays(cols, names)
-        pa.default_memory_pool().release_unused()
+        release()
 
 
 def _shared(spark: SparkSession, model: bytes | None):

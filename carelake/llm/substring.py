@@ -32,14 +32,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_slices, text_column, written
+from .common import release, row_slices, text_column, written
 from .wordhash import U, mix, windows, words
 
 #: Cells of a filter at most (64 MB of 64-bit cells); a filter is as big as what it holds needs.
 MAX_CELLS = 1 << 23
 _CELL_BITS = 4
-#: Rolling windows of a range of the index, about; windows that a task packs at once.
-RANGE, PACK = 1 << 21, 1 << 21
+#: Rolling windows of a range of the index, about; windows that a task packs at once, more where there are many ranges.
+RANGE, PACK = 1 << 21, 1 << 19
 #: A window that more than one in HOT of all rows have is compared apart: there are fewer than HOT such windows.
 HOT = 1000
 #: End of a copy's span: its last word, wherever that is.
@@ -86,7 +86,7 @@ def _rolling(batch: pa.RecordBatch, width: int) -> Iterator[tuple]:
         h, at = windows(w.hashes, w.first, width)
         row = np.searchsorted(w.first, at, "right") - 1
         yield lo, w, h, at, row
-    pa.default_memory_pool().release_unused()
+    release()
 
 
 def _code(h: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +119,7 @@ def _packed(batches, block: int, ranges: int):
             held[0].append(h[~own])
             held[1].append(h[own])
             size += len(h)
-            if size >= PACK:
+            if size >= max(PACK, 32 * ranges):
                 yield from flush(held)
                 size = 0
     yield from flush(held)
@@ -245,6 +245,8 @@ def _cut(batches, full: bool, window: int):
             yield pa.RecordBatch.from_arrays([b.column(0), new], ["keep", "text"])
         else:
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(out)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+        del arr, out
+        release()
 
 
 def _apply(docs: DataFrame, window: int, full: bool) -> DataFrame:
@@ -261,9 +263,11 @@ def _apply(docs: DataFrame, window: int, full: bool) -> DataFrame:
     def side(batches, maybe: bool):
         have = np.frombuffer(index.value, U)
         for b in batches:
-            got = b.filter(pa.array(_names(b.column(4).to_numpy(), have) == maybe))
-            if got.num_rows:
-                yield got
+            hit = _names(b.column(4).to_numpy(), have) == maybe
+            for lo, hi in row_slices(text_column(b, "text"), 1 << 20):
+                if hit[lo:hi].any():
+                    yield b.slice(lo, hi - lo).filter(pa.array(hit[lo:hi]))
+        release()
 
     def without(batches):
         """Documents that have no spans for certain, in the same pass that tells them apart."""
