@@ -116,8 +116,11 @@ def _packed(batches, block: int, ranges: int):
     for b in batches:
         for _, w, h, at, row in _rolling(b, block):
             own = (at - w.first[row]) % block == 0
-            held[0].append(h[~own])
-            held[1].append(h[own])
+            # what a text repeats of itself is no repeat: each of its blocks once, and no window that equals one of them
+            name = mix(h ^ (row.astype(U) * U(0x9E3779B97F4A7C15)))
+            mine, first = np.unique(name[own], return_index=True)
+            held[0].append(h[~own & ~np.isin(name, mine)])
+            held[1].append(h[own][first])
             size += len(h)
             if size >= max(PACK, 32 * ranges):
                 yield from flush(held)
